@@ -2,8 +2,8 @@
 
 A text is cut into words, lower-cased, and runs of other marks; each run of marks is one token by its kind,
 and a word in capitals adds a token of its own. Tokens and pairs of neighbours are hashed to `2**bits`
-weights. A text's features are its counts divided by their sum, so its score is the mean of its
-weights, through the logistic function. Training: `shards` learners each go through their share of the
+weights. A text's features are its counts divided by their sum, times SCALE, so its score is the mean of
+its weights times SCALE, plus the bias, through the logistic function. Training: `shards` learners each go through their share of the
 labelled sample (dealt by a hash of the id) with per-coordinate FTRL-proximal updates; their weights
 are averaged. The sample is bounded by `max_rows` (the rows of smallest hash); everything is scored.
 
@@ -28,6 +28,7 @@ from .common import held_out, table, texts
 BITS = 18
 MAX_ROWS = 20_000
 SHARDS = 8
+SCALE = 30.0
 TOKEN = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+|\n+")
 MAX_KNOWN = 400_000
 
@@ -58,29 +59,30 @@ class Features:
         h = np.array([known.get(t) or new(t) for t in TOKEN.findall(text)], np.int64)
         if not len(h):
             return h
-        mixed = (h[:-1] * np.int64(1000003)) ^ h[1:]
+        # A token that stands twice in a row is one feature, whatever the token.
+        mixed = np.where(h[:-1] == h[1:], np.int64(7_777_777_777), (h[:-1] * np.int64(1000003)) ^ h[1:])
         return np.concatenate([h & self.mask, (mixed ^ (mixed >> 23)) & self.mask])
 
 
-def learn(rows: Iterator[tuple[str, int]], bits: int = BITS, passes: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.01) -> tuple[np.ndarray, float]:
+def learn(rows: Iterator[tuple[str, int]], bits: int = BITS, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.001, l2: float = 0.01) -> tuple[np.ndarray, float]:
     """FTRL-proximal over the rows in order, several passes: weights and bias."""
     kit = Features(bits)
     data = []
     for text, label in rows:
         i, n = np.unique(kit.of(text), return_counts=True)
-        data.append((i, n / max(1, n.sum()), label))
+        data.append((i, SCALE * n / max(1, n.sum()), label))
     size = (1 << bits) + 1
     z, n2, w = np.zeros(size), np.zeros(size), np.zeros(size)
     for _ in range(passes):
         for i, x, label in data:
-            i, x = np.append(i, size - 1), np.append(x, 0.1)
+            i, x = np.append(i, size - 1), np.append(x, 1.0)
             w[i] = np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n2[i])) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(w[i] @ x, -35, 35)))
             g = (p - label) * x
             z[i] += g - (np.sqrt(n2[i] + g * g) - np.sqrt(n2[i])) / alpha * w[i]
             n2[i] += g * g
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n2)) / alpha + l2))
-    return w[:-1], float(w[-1]) * 0.1
+    return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS, shards: int = SHARDS) -> tuple[np.ndarray, float]:
@@ -122,7 +124,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
             out = []
             for raw in texts(batch, "_text"):
                 f = kit.of(raw.decode())
-                out.append(1 / (1 + np.exp(-np.clip(bias + (w[f].mean() if len(f) else 0.0), -35, 35))))
+                out.append(1 / (1 + np.exp(-np.clip(bias + (SCALE * w[f].mean() if len(f) else 0.0), -35, 35))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, pa.float64())], [*batch.schema.names[:width], "score"])
 
     schema = docs.drop("score").schema if "score" in docs.columns else docs.schema
