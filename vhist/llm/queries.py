@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, language, quality, secrets, warc
+from . import bpe, decontaminate, html_text, language, quality, secrets, warc
 
 QUERIES = {
     "op3_html_text": html_text.op3_html_text,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_quality": quality.op7_quality,
     "op8_warc": warc.op8_warc,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_decontamination": decontaminate.ORACLE_OP4,
     "op8_warc": warc.ORACLE_OP8,
     "op10_secrets": secrets.oracle_op10(),
 }
