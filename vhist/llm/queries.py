@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language, quality, secrets, warc
+from . import bpe, decontaminate, html_text, language, line_dedup, neighbours, quality, secrets, warc
 
 QUERIES = {
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_html_text": html_text.op3_html_text,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality": quality.op7_quality,
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
@@ -16,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_decontamination": decontaminate.ORACLE_OP4,
+    "op6_line_dedup": line_dedup.ORACLE_OP6,
     "op8_warc": warc.ORACLE_OP8,
     "op10_secrets": secrets.oracle_op10(),
 }
