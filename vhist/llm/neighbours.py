@@ -3,7 +3,7 @@
 Fitting. Vectors that are equal are gathered into one point that keeps its smallest ids, as many as a result can
 hold, so a vector that a third of all rows share is one point. The forest is fitted on a sample of at most
 `sample` points (those of smallest hash): each node splits its points at the median of their projection on the
-difference of two random ones, down to `leaf` points.
+difference of two random ones, down to a `leaves`-th of the sample.
 
 Indexing. Every point is routed to its leaf in every tree. Searching. A query's trees share one priority
 queue, ordered by the largest distance to a crossed split on the way; leaves are taken from it until they
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 TREES = 12
-LEAF = 400
+#: Leaves of a tree: the sample is split until a leaf has this part of it or less.
+LEAVES = 50
 SAMPLE = 20_000
 #: Points in the leaves that a query visits, copies over trees included, as a share of all points. Vectors without any
 #: structure (the hardest case) need about 0.5 for a recall of 0.9; clustered ones need far less.
@@ -42,8 +43,8 @@ BLOCK = 4_096
 class Forest:
     """Trees as flat arrays: for inner nodes a normal, a threshold and two children, for leaves their share of the sample."""
 
-    def __init__(self, points: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
-        self.leaf = leaf
+    def __init__(self, points: np.ndarray, trees: int = TREES, leaves: int = LEAVES, seed: int = 7):
+        self.leaf = max(2, len(points) // leaves)
         self.trees = [self.grow(points, np.random.default_rng([seed, t])) for t in range(trees if len(points) else 0)]
 
     def grow(self, points: np.ndarray, rng: np.random.Generator) -> tuple:
@@ -121,16 +122,16 @@ def points_of(fine: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("k").agg(F.min("vec_id").alias("pid"), F.any_value("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, effort: float = EFFORT) -> DataFrame:
+def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, trees: int = TREES, leaves: int = LEAVES, sample: int = SAMPLE, effort: float = EFFORT) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of (vec_id, embedding) that ``is_query`` (of vec_id) marks."""
     fine = valid(rows)
     points = stored(points_of(fine, k + 1))
-    # The sample is bounded, so it may come to the driver; so may the forest, of about sample / leaf nodes a tree.
+    # The sample is bounded, so it may come to the driver; so may the forest, of about 2 * leaves nodes a tree.
     drawn = points.orderBy(F.xxhash64("pid"), "pid").limit(sample).select("v").toPandas()["v"]
     dim = max((len(x) for x in drawn), default=0)
     points = points.where(F.size("v") == dim)
     fit = np.array([np.asarray(x) / np.linalg.norm(x) for x in drawn if len(x) == dim]).reshape(-1, dim)
-    forest = Forest(fit, trees, leaf)
+    forest = Forest(fit, trees, leaves)
 
     def unit(column: pa.Array) -> np.ndarray:
         m = np.asarray(column.flatten()).reshape(len(column), dim)
