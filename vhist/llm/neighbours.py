@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-TREES = 12
+TREES = 16
 #: Leaves of a tree: the sample is split until a leaf has this part of it or less.
 LEAVES = 50
 SAMPLE = 20_000
 #: Points in the leaves that a query visits, copies over trees included, as a share of all points. Vectors without any
-#: structure (the hardest case) need about 0.5 for a recall of 0.9; clustered ones need far less.
-EFFORT = 0.8
+#: structure (the hardest case) need about 0.8 for a recall of 0.9; clustered ones need far less.
+EFFORT = 1.4
 BLOCK = 4_096
 
 
