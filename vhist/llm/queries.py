@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language, line_dedup, neighbours, quality, secrets, warc
+from . import bpe, decontaminate, html_text, language, line_dedup, near_dup, neighbours, quality, secrets, warc
 
 QUERIES = {
+    "op1_near_dup": near_dup.op1_near_dup,
     "op2_neighbours": neighbours.op2_neighbours,
     "op3_html_text": html_text.op3_html_text,
     "op4_decontamination": decontaminate.op4_decontamination,
