@@ -1,8 +1,8 @@
 """Reachability over parent edges: closures, ranges, merge bases, chains, walk order.
 
 Edges are (child, ord, parent); a question is a set of (root, node) rows, so that one plan answers it for any number of
-roots at once. Closures join the frontier with the edges a few levels at a time and drop what was seen by an anti
-join; nothing is collected, and every round is cut by a stored table.
+roots at once. Closures join the frontier with edges that span a few levels and drop what was seen by an anti join;
+nothing is collected, and every round is cut by a stored table.
 """
 
 from __future__ import annotations
@@ -16,23 +16,29 @@ from pyspark.sql import functions as F
 
 from vhist.plans.materialize import materialized
 
-#: Levels that one stored round walks.
-LEVELS = 4
+#: Levels that one round walks: more make fewer rounds and as many times more edges.
+LEVELS = 8
+
+
+def long_edges(step: DataFrame, levels: int) -> DataFrame:
+    """(node, parent) for all ancestors up to ``levels`` steps away (a power of two), by joining the edges with themselves."""
+    out, reach = step, 1
+    while reach < levels:
+        far = out.join(out.select(F.col("node").alias("parent"), F.col("parent").alias("far")), "parent").select("node", F.col("far").alias("parent"))
+        out, reach = out.unionByName(far).distinct(), 2 * reach
+    return materialized(out)
 
 
 def closure(roots: DataFrame, edges: DataFrame, first_parent: bool = False, levels: int = LEVELS) -> DataFrame:
-    """(root, node): each root's start nodes and all their ancestors. Ends after as many rounds as the graph is deep."""
+    """(root, node): each root's start nodes and all their ancestors. The rounds are the graph's depth over ``levels``."""
     step = edges.where("ord = 0") if first_parent else edges
-    step = step.select(F.col("child").alias("node"), "parent")
+    step = long_edges(step.select(F.col("child").alias("node"), "parent"), levels)
     new = materialized(roots.select("root", "node").distinct())
     pieces = [new]
     while True:
-        reached, front = [], new
-        for _ in range(levels):
-            front = front.join(step, "node").select("root", F.col("parent").alias("node")).distinct()
-            reached.append(front)
+        reached = new.join(step, "node").select("root", F.col("parent").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, pieces)
-        new = materialized(reduce(DataFrame.unionByName, reached).distinct().join(seen, ["root", "node"], "left_anti"))
+        new = materialized(reached.join(seen, ["root", "node"], "left_anti"))
         if new.isEmpty():
             return seen
         pieces.append(new)
