@@ -11,7 +11,7 @@ hold `effort` times as many points as there are (points found by several trees c
 `block` points, which gives the best of each block by cosine; these are reranked in double precision on the original
 vectors. Ties go to the smaller id.
 
-Vectors that are null, zero, of another length than the first one's, or that hold null or non-finite numbers take
+Vectors that are null, zero, of another length than the longest in the sample, or that hold null or non-finite numbers take
 no part. An empty table gives no rows; fewer candidates than k give fewer rows. A query's own row never counts, but
 other rows with its vector do. Ids are expected to be unique; rows with a null id take no part. Extra columns are
 left out.
@@ -130,8 +130,11 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, trees: int = TREES,
     drawn = points.orderBy(F.xxhash64("pid"), "pid").limit(sample).select("v").toPandas()["v"]
     dim = max((len(x) for x in drawn), default=0)
     points = points.where(F.size("v") == dim)
-    fit = np.array([np.asarray(x) / np.linalg.norm(x) for x in drawn if len(x) == dim]).reshape(-1, dim)
+    fit = [np.asarray(x) / np.linalg.norm(x) for x in drawn if len(x) == dim]
+    fit = np.array(fit).reshape(len(fit), dim)
     forest = Forest(fit, trees, leaves)
+    # In small tables so much that no query runs short of points.
+    effort = max(effort, trees * min(1.0, 8 * (k + 1) / max(1, len(fit))))
 
     def unit(column: pa.Array) -> np.ndarray:
         m = np.asarray(column.flatten()).reshape(len(column), dim)
