@@ -75,3 +75,50 @@ def test_broken_deltas():
     with pytest.raises(gitrepo.GitError):
         gitrepo.patched(b"abc", b"\x03\x05\x91\x02\x05")
     assert gitrepo.patched(b"abc", b"\x03\x05\x91\x01\x02\x03xyz") == b"bcxyz"
+
+
+@pytest.fixture(scope="module")
+def opened(spark, repo):
+    from vhist.api import Repo
+
+    return Repo.from_git(spark, repo[0])
+
+
+def ordered(df, *cols):
+    return [tuple(x[c] for c in cols) if len(cols) > 1 else x[cols[0]] for x in df.orderBy("pos").collect()]
+
+
+def test_names_and_walks(opened, repo):
+    _, git = repo
+    for name in ("HEAD", "main", "v1", "side", "main~2", "main~1^2", "HEAD^{}", "@"):
+        assert opened.resolve(name) == git("rev-parse", name + "^{commit}").strip()
+    assert ordered(opened.rev_list("HEAD"), "oid") == git("rev-list", "HEAD").split()
+    assert ordered(opened.rev_list("HEAD", first_parent=True, limit=3), "oid") == git("rev-list", "--first-parent", "-n", "3", "HEAD").split()
+    assert ordered(opened.rev_list("side..main", reverse=True), "oid") == git("rev-list", "--reverse", "side..main").split()
+    assert ordered(opened.merge_base("main~1", "side"), "oid") == git("merge-base", "--all", "main~1", "side").split()
+    assert opened.is_ancestor("side", "main") and not opened.is_ancestor("main", "side")
+
+
+def test_log_and_diff(opened, repo):
+    _, git = repo
+    assert "\n".join(ordered(opened.log("HEAD"), "text")) == git("log", "HEAD")
+    assert ordered(opened.log("HEAD", ["f2", "s"]), "oneline") == git("log", "--oneline", "--abbrev=7", "HEAD", "--", "f2", "s").splitlines()
+    assert ordered(opened.log("HEAD", limit=2), "oid") == git("log", "-n2", "--format=%H").split()
+    assert {(x.status, x.path) for x in opened.diff("HEAD~4", "HEAD").collect()} == {tuple(x.split("\t")) for x in git("diff", "--no-renames", "--name-status", "HEAD~4", "HEAD").splitlines()}
+    hunks = "@@ " + git("diff", "HEAD~5", "HEAD~3", "--", "d").split("\n@@ ", 1)[1]
+    mine = opened.patch("HEAD~5", "HEAD~3", ["d"]).first().patch
+    assert [x for x in mine.splitlines() if x[0] in "+-"] == [x for x in hunks.splitlines() if x[0] in "+-"]
+
+
+def test_files_and_blame(opened, repo):
+    _, git = repo
+    assert opened.cat("HEAD", "d/file.txt").decode() == git("show", "HEAD:d/file.txt")
+    want = {tuple(x.split(":", 2)) for x in git("grep", "-n", "line 3", "HEAD~1", "--", "d").replace("HEAD~1:", "").splitlines()}
+    assert {(x.path, str(x.line_no), x.line) for x in opened.grep(["line 3"], "HEAD~1", ["d"]).collect()} == want
+    blamed = {x.final_line: (x.oid, x.original_line) for x in opened.blame("HEAD", "d/file.txt").collect()}
+    lines = [x.split() for x in git("blame", "--porcelain", "HEAD", "--", "d/file.txt").splitlines() if len(x.split()[0]) == 40 and x[0] != "\t"]
+    assert blamed == {int(x[2]): (x[0], int(x[1])) for x in lines}
+    assert {(x.author, x.n) for x in opened.shortlog("HEAD").collect()} == {("A B", 9)}
+    assert {x.name for x in opened.branches().collect()} == {"main", "side"}
+    assert {(x.oid, x.name) for x in opened.show_ref().collect()} == {tuple(x.split()) for x in git("show-ref").splitlines()}
+    assert opened.switch("side") == git("rev-parse", "side").strip() and opened.switch("-") == git("rev-parse", "main").strip()

@@ -97,6 +97,12 @@ def by_time(reached: DataFrame, commits: DataFrame) -> DataFrame:
     return timed.withColumn("pos", F.row_number().over(order).cast("long")).drop("time")
 
 
+def time_key(rows: DataFrame) -> F.Column:
+    """`time` as a number, be it epoch seconds or a timestamp."""
+    kind = rows.schema["time"].dataType.simpleString()
+    return F.col("time").cast("long") if kind in ("bigint", "int") else F.unix_micros(F.col("time").cast("timestamp"))
+
+
 def walk(reached: DataFrame, starts: DataFrame, edges: DataFrame, commits: DataFrame, limit: int | None = None) -> DataFrame:
     """(root, node, pos): the exact walk also under clock skew and equal times. A heap gives the latest commit, the
     first pushed of equal ones; unseen parents are pushed in order. One task walks one root's own closure."""
@@ -104,15 +110,15 @@ def walk(reached: DataFrame, starts: DataFrame, edges: DataFrame, commits: DataF
     parents = edges.groupBy("child").agg(F.sort_array(F.collect_list(F.struct("ord", "parent"))).alias("ps"))
     rows = rows.join(parents, F.col("node") == F.col("child"), "left")
     rows = rows.join(starts.select("root", "node", F.lit(True).alias("start")), ["root", "node"], "left")
-    rows = rows.select("root", "node", F.unix_micros(F.col("time").cast("timestamp")).alias("t"), F.col("ps.parent").alias("ps"), F.coalesce("start", F.lit(False)).alias("start"))
-    kind = reached.schema["root"].dataType.simpleString()
+    rows = rows.select("root", "node", time_key(rows).alias("t"), F.col("ps.parent").alias("ps"), F.coalesce("start", F.lit(False)).alias("start"))
+    kind, own = (reached.schema[c].dataType.simpleString() for c in ("root", "node"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         time = dict(zip(pdf["node"], pdf["t"]))
         ps = dict(zip(pdf["node"], pdf["ps"]))
-        heap: list[tuple[int, int, int]] = []
-        seen: set[int] = set()
-        out: list[int] = []
+        heap: list[tuple] = []
+        seen: set = set()
+        out: list = []
 
         def push(nodes) -> None:
             for n in nodes:
@@ -128,7 +134,7 @@ def walk(reached: DataFrame, starts: DataFrame, edges: DataFrame, commits: DataF
                 push(ps[n])
         return pd.DataFrame({"root": [key[0]] * len(out), "node": out, "pos": range(1, len(out) + 1)})
 
-    return rows.groupBy("root").applyInPandas(one, f"root {kind}, node long, pos long")
+    return rows.groupBy("root").applyInPandas(one, f"root {kind}, node {own}, pos long")
 
 
 def heap_needed(reached: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:

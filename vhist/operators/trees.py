@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vhist.plans.materialize import materialized
+
+DIRECTORY = 0o040000
+
 
 def snapshot(reached: DataFrame, commits: DataFrame, touches: DataFrame) -> DataFrame:
     """(root, path, value): the latest value of each path among the commits that a root reaches along first parents."""
@@ -43,3 +47,37 @@ def ls_tree(files: DataFrame, directory: str = "") -> DataFrame:
 def page(files: DataFrame, after: str, limit: int) -> DataFrame:
     """Keyset paging: the next paths after a cursor."""
     return files.where(F.col("path") > after).orderBy("path").limit(limit)
+
+
+def changed_paths(entries: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, old_oid, old_mode, new_oid, new_mode) of the files that differ between `old_tree` and `new_tree` of each
+    pair (either may be null). One join a level of directories; equal subtrees are never opened. A file that a directory
+    replaces is a deletion and additions."""
+    level = materialized(pairs.where("NOT old_tree <=> new_tree").select(*keys, "old_tree", "new_tree", F.lit("").alias("prefix")))
+    found = []
+    side = lambda of, a: level.join(
+        entries.select(F.col("tree").alias(f"{of}_tree"), "name", F.col("oid").alias(f"{a}o"), F.col("mode").alias(f"{a}m")), f"{of}_tree"
+    ).select(*keys, "prefix", "name", f"{a}o", f"{a}m")
+    while not level.isEmpty():
+        both = side("old", "o").join(side("new", "n"), [*keys, "prefix", "name"], "full_outer")
+        both = materialized(both.where("NOT (oo <=> no AND om <=> nm)").withColumn("path", F.concat("prefix", "name")))
+        file = lambda a, c: F.when(F.col(f"{a}m") != DIRECTORY, F.col(f"{a}{c}"))
+        files = both.select(*keys, "path", file("o", "o").alias("old_oid"), file("o", "m").alias("old_mode"), file("n", "o").alias("new_oid"), file("n", "m").alias("new_mode"))
+        found.append(files.where("old_oid IS NOT NULL OR new_oid IS NOT NULL"))
+        tree = lambda a: F.when(F.col(f"{a}m") == DIRECTORY, F.col(f"{a}o"))
+        below_ = both.select(*keys, tree("o").alias("old_tree"), tree("n").alias("new_tree"), F.concat("path", F.lit("/")).alias("prefix"))
+        level = materialized(below_.where("old_tree IS NOT NULL OR new_tree IS NOT NULL"))
+    if not found:
+        return level.select(*keys, F.col("prefix").alias("path"), F.col("old_tree").alias("old_oid"), F.lit(0).alias("old_mode"), F.col("new_tree").alias("new_oid"), F.lit(0).alias("new_mode")).limit(0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def status_of(old: str = "old", new: str = "new") -> Column:
+    """A, D, T (another kind of file) or M."""
+    kind = lambda c: F.floor(F.col(c) / 0o10000)
+    return (
+        F.when(F.col(f"{old}_oid").isNull(), "A").when(F.col(f"{new}_oid").isNull(), "D").when(kind(f"{old}_mode") != kind(f"{new}_mode"), "T").otherwise("M")
+    )
