@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import stored, table, texts
 from .components import components
 
-BLOCK = 512
+BLOCK = 2048
+#: Of the filter that spares shuffling texts outside families: 1 MB.
+FILTER_BITS = 1 << 23
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,21 +190,34 @@ def candidate_links(reps: DataFrame, k: int, similar: int) -> DataFrame:
             # Inside the batch a link to the smallest id stands for the signature; only that id goes on with it.
             pairs = np.unique(np.stack([hub[~new], doc[~new]]), axis=1)
             pairs = pairs[:, pairs[0] != pairs[1]]
-            spread = mix(np.arange(pairs.shape[1], dtype=np.uint64) + np.uint64(len(sig)))
+            # The two ids of a link travel as a signature of their own.
+            spread = mix(np.arange(pairs.shape[1], dtype=np.uint64) ^ (mix(pairs[1].astype(np.uint64)) + np.uint64(1)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([sig[new], spread]).view(np.int64)),
-                    pa.array(np.concatenate([doc[new], pairs[0]])),
-                    pa.array(np.concatenate([np.zeros(new.sum(), np.int64), pairs[1]]), mask=np.arange(new.sum() + pairs.shape[1]) < new.sum()),
-                ],
-                ["sig", "a", "b"],
+                [pa.array(np.concatenate([sig[new], spread, spread]).view(np.int64)), pa.array(np.concatenate([doc[new], pairs[0], pairs[1]]))],
+                ["sig", "b"],
             )
 
-    rows = reps.mapInArrow(run, "sig long, a long, b long")
+    rows = reps.mapInArrow(run, "sig long, b long")
     # One row for each signature and batch: even the hottest signature has no more rows than there are batches.
-    hub = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("sig"))
-    linked = rows.withColumn("hub", hub).select(F.when(F.col("b").isNull(), F.col("hub")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b"))
-    return linked.where("a <> b").distinct()
+    hub = F.min("b").over(Window.partitionBy("sig"))
+    return rows.withColumn("a", hub).where("a <> b").select("a", "b").distinct()
+
+
+def filtered(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of (doc_id, text) whose doc_id may be among ``ids``: a Bloom filter of fixed size, so that most of the other
+    texts are never shuffled. An exact join has to follow."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    set_bits = F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {bits}) % 64 AS INT))"))
+    words = ids.groupBy(F.floor(at / 64).alias("word")).agg(set_bits.alias("set")).toArrow()  # bits / 64 rows at most
+    held = np.zeros(bits // 64, np.int64)
+    held[words.column("word").to_numpy()] = words.column("set").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((held[k // 64] >> (k % 64)) & 1 == 1))
+
+    return rows.withColumn("_bit", at).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, text string")
 
 
 def spanning_links(ids: np.ndarray, sets: list[np.ndarray], cross: np.ndarray, similar: int) -> Iterator[tuple[int, int]]:
@@ -283,7 +298,8 @@ def near_duplicates(docs: DataFrame, k: int, similar: int) -> DataFrame:
     family = components(candidate_links(own, k, similar))
     sizes = family.groupBy("component").agg(F.count("*").alias("size"))
     family = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
-    links = links_in_families(rows.join(family, "doc_id").select("doc_id", "text", "family", "size"), k, similar)
+    family = stored(family)
+    links = links_in_families(filtered(rows, family).join(family, "doc_id").select("doc_id", "text", "family", "size"), k, similar)
     # Ids with equal sets are linked too; of these only ids that stand for several sets matter to others.
     found = components(links).select(F.col("node").alias("rep"), F.col("component"))
     named = reps.join(found, "rep", "left").select("n", "x", "y", F.coalesce("component", "rep").alias("c"))
