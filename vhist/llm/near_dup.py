@@ -5,10 +5,11 @@ percent or more. Sizes are cut into bands such that a set can only link within i
 a band, linked sets differ in at most k shingles. The shingles' domain is dealt by a hash into partitions and each of
 these into 2 or 3 parts; a signature is the shingles of a partition less one of its parts. There are enough partitions
 that linked sets differ by one shingle at most in more of them than `spare`, so they share a signature there. Signatures
-without a shingle are left out where a set has no more than `spare` such partitions, which loses no link; a
-set with more of them combines these with the signatures of a second dealing.
+without a shingle are left out where a set has no more than `spare` such partitions, which loses no link; sets with more
+of them are dealt again into larger parts, and the few that lack shingles there too combine these with a third dealing.
 
-Sets that share signatures, directly or over others, are a family. In a family all sets are compared exactly: in
+Sets that share fewer signatures with others than any link takes are left out. The rest that share signatures, directly or
+over others, are a family. In a family all sets are compared exactly: in
 blocks of at most about `BLOCK` sets against each other, each giving no more links than make its parts hang together.
 Links give the components. Equal sets are one set from the start, represented by its smallest id; in each
 batch, sets with a common signature hand only the smallest id on, so a hot signature is added up
@@ -33,6 +34,8 @@ from .common import stored, table, texts
 from .components import components
 
 BLOCK = 2048
+#: Shingles whose signatures are made at once.
+CHUNK = 1_000_000
 #: Of the filter that spares shuffling texts outside families: 1 MB.
 FILTER_BITS = 1 << 23
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -92,17 +95,18 @@ def bands(similar: int, largest: int) -> tuple[int, ...]:
 
 
 @lru_cache
-def shape(similar: int, end: int) -> tuple[int, int, int]:
-    """Partitions, parts of each, and how many partitions are spare, in the band that ends here."""
+def shape(similar: int, end: int) -> tuple[int, int]:
+    """Partitions, and how many of them are spare, in the band that ends here. The lower the similarity, the fewer shingles
+    a part has and the more partitions have an empty one, so more are spare."""
     k = 2 * end * (100 - similar) // (100 + similar)
     need = k // 2 + 1
-    spare = min(2 + need // 32, need - 1)
-    return need + spare, 3 if need <= 4 else 2, spare
+    spare = min(3 + need // (8 if similar >= 84 else 4), need - 1)
+    return need + spare, spare
 
 
 def dealt(features: np.ndarray, owner: np.ndarray, offset: np.ndarray, n1: np.ndarray, n2: np.ndarray, cells: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For each set's parts, three to a partition: the sum of the mixed shingles in it and their number."""
-    x = mix(features + np.uint64(seed) * _C)
+    x = mix(features + np.uint64(seed * int(_C) % 2**64))
     first = (x >> np.uint64(32)) % n1[owner]
     second = (x & np.uint64(0xFFFFFFFF)) % n2[owner]
     at = offset[owner] + 3 * first.astype(np.int64) + second.astype(np.int64)
@@ -111,49 +115,64 @@ def dealt(features: np.ndarray, owner: np.ndarray, offset: np.ndarray, n1: np.nd
     return sums, np.bincount(at, minlength=cells)
 
 
-def instance_signatures(sets: list[np.ndarray], ends: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets in the bands that end at ``ends``, with the index of the set of each."""
-    shapes = np.array([shape(similar, int(e)) for e in ends], np.int64).reshape(-1, 3)
-    n1, n2, spare = shapes.T
+def dealing(sets: list[np.ndarray], ends: np.ndarray, similar: int, seed: int, parts: int) -> tuple[np.ndarray, ...]:
+    """(partitions, 3) signatures, which exist, which are empty; each partition's set; each set's spare partitions."""
+    n1, spare = np.array([shape(similar, int(e)) for e in ends], np.int64).reshape(-1, 2).T
+    n2 = np.where(n1 - spare <= 4, 3, parts)
     offset = 3 * np.concatenate([[0], np.cumsum(n1)[:-1]])
-    features = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    features = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    partition_owner = np.repeat(np.arange(len(sets)), n1)
-    number = np.arange(len(partition_owner)) - (offset // 3)[partition_owner]
-
-    def signatures(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(partitions, 3) signatures, which exist, which are empty."""
-        sums, counts = dealt(features, owner, offset, n1.astype(np.uint64), n2.astype(np.uint64), 3 * len(partition_owner), seed)
-        sums, counts = sums.reshape(-1, 3), counts.reshape(-1, 3)
-        left, held = sums.sum(axis=1, keepdims=True) - sums, counts.sum(axis=1, keepdims=True) - counts
-        place = (number[:, None] * 3 + np.arange(3)).astype(np.uint64)
-        salt = mix(place + mix(ends.astype(np.uint64) * np.uint64(2) + np.uint64(seed))[partition_owner][:, None])
-        there = np.arange(3) < n2[partition_owner][:, None]
-        return mix(left + salt), there, there & (held == 0)
-
-    sig, there, empty = signatures(0)
-    weak = np.bincount(partition_owner, weights=empty.any(axis=1), minlength=len(sets)) > spare
-    keep = there & ~empty
-    out_sig, out_set = [sig[keep]], [np.broadcast_to(partition_owner[:, None], sig.shape)[keep]]
-    if weak.any():
-        again, there2, _ = signatures(1)
-        for s in np.flatnonzero(weak):
-            own = partition_owner == s
-            a, b = sig[own][empty[own]], again[own][there2[own]]
+    of = np.repeat(np.arange(len(sets)), n1)
+    sums, counts = dealt(features, owner, offset, n1.astype(np.uint64), n2.astype(np.uint64), 3 * len(of), seed)
+    sums, counts = sums.reshape(-1, 3), counts.reshape(-1, 3)
+    left, held = sums.sum(axis=1, keepdims=True) - sums, counts.sum(axis=1, keepdims=True) - counts
+    place = ((np.arange(len(of)) - (offset // 3)[of])[:, None] * 3 + np.arange(3)).astype(np.uint64)
+    salt = mix(place + mix(ends.astype(np.uint64) * np.uint64(4) + np.uint64(seed))[of][:, None])
+    there = np.arange(3) < n2[of][:, None]
+    return mix(left + salt), there, there & (held == 0), of, spare
+
+
+def instance_signatures(sets: list[np.ndarray], ends: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets in the bands that end at ``ends``, with the index of the set of each, and for each set how many
+    of them a linked set shares at least. Sets with more weak partitions than are spare are dealt again into more parts; the
+    rare ones that are weak there too combine."""
+    out_sig, out_set, now = [], [], np.arange(len(sets))
+    shares = np.ones(len(sets), np.int64)
+    for seed, parts in enumerate((2, 3)):
+        if not len(now):
+            break
+        sig, there, empty, of, spare = dealing([sets[i] for i in now], ends[now], similar, seed, parts)
+        keep = there & ~empty
+        out_sig.append(sig[keep])
+        out_set.append(now[np.broadcast_to(of[:, None], sig.shape)[keep]])
+        lost = np.bincount(of, weights=empty.any(axis=1), minlength=len(now)).astype(np.int64)
+        if seed == 0:
+            # Linked sets agree in more partitions than are spare; all but the weak ones of these give a common signature.
+            shares = np.maximum(1, spare + 1 - lost)
+        weak = np.flatnonzero(lost > spare)
+        lacking = [sig[of == w][empty[of == w]] for w in weak]
+        now = now[weak]
+    if len(now):
+        again, there, _, of, _ = dealing([sets[i] for i in now], ends[now], similar, 2, 3)
+        for w, a in enumerate(lacking):
+            b = again[of == w][there[of == w]]
             out_sig.append(mix(a[:, None] * _C + b[None, :]).reshape(-1))
-            out_set.append(np.full(len(a) * len(b), s))
-    return np.concatenate(out_sig), np.concatenate(out_set)
+            out_set.append(np.full(len(a) * len(b), now[w]))
+    return np.concatenate(out_sig or [np.empty(0, np.uint64)]), np.concatenate(out_set or [np.empty(0, np.int64)]), shares
 
 
-def signatures_of(sets: list[np.ndarray], similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of non-empty sets: in each set's own band, and in the next where it can link into that."""
+def signatures_of(sets: list[np.ndarray], similar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of non-empty sets, in each set's own band, and in the next where it can link into that: signature, set,
+    0 or 1 for the band; and (sets, 2) how many of these a linked set shares at least (0: not in that band)."""
     sizes = np.array([len(s) for s in sets])
     ends = np.array(bands(similar, int(sizes.max(initial=1)) * 2))
     at = np.searchsorted(ends, sizes)
     onward = np.flatnonzero(100 * sizes >= similar * (ends[at] + 1))
-    a, i = instance_signatures(sets, ends[at], similar)
-    b, j = instance_signatures([sets[x] for x in onward], ends[at[onward] + 1], similar)
-    return np.concatenate([a, b]), np.concatenate([i, onward[j]])
+    a, i, own = instance_signatures(sets, ends[at], similar)
+    b, j, far = instance_signatures([sets[x] for x in onward], ends[at[onward] + 1], similar)
+    shares = np.zeros((len(sets), 2), np.int64)
+    shares[:, 0], shares[onward, 1] = own, far
+    return np.concatenate([a, b]), np.concatenate([i, onward[j]]), np.repeat([0, 1], [len(a), len(b)]), shares
 
 
 def set_keys(docs: DataFrame, k: int) -> DataFrame:
@@ -172,30 +191,70 @@ def set_keys(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, x long, y long")
 
 
+def in_chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Ids and sets of rows of (doc_id, text), about `CHUNK` shingles at a time."""
+    kit = Shingles(k)
+    for batch in batches:
+        ids, sets, first, held = batch.column(0).to_numpy(), [], 0, 0
+        for at, raw in enumerate(texts(batch)):
+            sets.append(kit.of(raw))
+            held += len(sets[-1])
+            if held >= CHUNK or at == len(ids) - 1:
+                yield ids[first : at + 1], sets
+                sets, first, held = [], at + 1, 0
+
+
+def candidate_ids(reps: DataFrame, k: int, similar: int) -> DataFrame:
+    """(doc_id) of the sets that share as many signatures with others as a link takes, from rows of (doc_id, text). Few others
+    have that many in common with anything, so most texts end here, also those that only share a passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in in_chunks(batches, k):
+            sig, at, band, shares = signatures_of(sets, similar)
+            order = np.argsort(sig, kind="stable")
+            sig, at, band = sig[order], at[order], band[order]
+            new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.append(new, len(sig)))
+            shared = np.repeat(size > 1, size)
+            here = np.bincount(2 * at[shared] + band[shared], minlength=2 * len(sets)).reshape(-1, 2)
+            # A row of each signature: with its set's id and band, or with neither where several of these sets have it, which is
+            # counted here. A row of each set and band: what it shares here less what it needs, marked by the second last bit.
+            who, which = np.nonzero(shares)
+            balance = 4 * (here - shares)[who, which] + 2 + which
+            own = mix(ids[who].astype(np.uint64) * np.uint64(2) + which.astype(np.uint64) + np.uint64(1))
+            doc, mark = np.concatenate([ids[at[new]], ids[who]]), np.concatenate([band[new], balance]).astype(np.int32)
+            none = np.concatenate([size > 1, np.zeros(len(who), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[new], own]).view(np.int64)), pa.array(doc, mask=none), pa.array(mark)], ["sig", "doc_id", "mark"])
+
+    rows = reps.mapInArrow(run, "sig long, doc_id long, mark int")
+    # One row for each signature and chunk: even the hottest signature has no more rows than there are chunks.
+    found = rows.withColumn("held", F.count("*").over(Window.partitionBy("sig")))
+    plain = F.col("mark").bitwiseAND(2) == 0
+    worth = F.when(plain, (F.col("held") > 1).cast("long")).otherwise(F.shiftright("mark", 2).cast("long"))
+    total = found.withColumn("worth", worth).where("doc_id IS NOT NULL AND (worth <> 0 OR (mark & 2) <> 0)").groupBy("doc_id", F.col("mark").bitwiseAND(1).alias("band")).agg(F.sum("worth").alias("balance"))
+    return total.where("balance >= 0").select("doc_id").distinct()
+
+
 def candidate_links(reps: DataFrame, k: int, similar: int) -> DataFrame:
     """(a, b): links that join all sets with a common signature, from rows of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kit = Shingles(k)
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            sets = [kit.of(raw) for raw in texts(batch)]
-            if not sets:
-                continue
-            sig, at = signatures_of(sets, similar)
+        def links(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+            sig, at, _, _ = signatures_of(sets, similar)
             order = np.lexsort((ids[at], sig))
             sig, doc = sig[order], ids[at][order]
             new = np.concatenate([[True], sig[1:] != sig[:-1]])
             hub = doc[new][np.cumsum(new) - 1]
-            # Inside the batch a link to the smallest id stands for the signature; only that id goes on with it.
+            # Among these sets a link to the smallest id stands for the signature; only that id goes on with it.
             pairs = np.unique(np.stack([hub[~new], doc[~new]]), axis=1)
             pairs = pairs[:, pairs[0] != pairs[1]]
             # The two ids of a link travel as a signature of their own.
-            spread = mix(np.arange(pairs.shape[1], dtype=np.uint64) ^ (mix(pairs[1].astype(np.uint64)) + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([sig[new], spread, spread]).view(np.int64)), pa.array(np.concatenate([doc[new], pairs[0], pairs[1]]))],
-                ["sig", "b"],
-            )
+            own = mix(np.arange(pairs.shape[1], dtype=np.uint64) ^ (mix(pairs[1].astype(np.uint64)) + np.uint64(1)))
+            columns = np.concatenate([sig[new], own, own]).view(np.int64), np.concatenate([doc[new], pairs[0], pairs[1]])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "b"])
+
+        for ids, sets in in_chunks(batches, k):
+            yield links(ids, sets)
 
     rows = reps.mapInArrow(run, "sig long, b long")
     # One row for each signature and batch: even the hottest signature has no more rows than there are batches.
@@ -295,11 +354,15 @@ def near_duplicates(docs: DataFrame, k: int, similar: int) -> DataFrame:
     reps = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"))
     reps = stored(reps)
     own = rows.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Ids that repeat stand for several sets, which aren't told apart there, and stay.
+    again = keys.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    near = stored(candidate_ids(own, k, similar).unionByName(again).distinct())
+    own = stored(filtered(rows, near).join(near, "doc_id", "left_semi"))
     family = components(candidate_links(own, k, similar))
     sizes = family.groupBy("component").agg(F.count("*").alias("size"))
     family = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
     family = stored(family)
-    links = links_in_families(filtered(rows, family).join(family, "doc_id").select("doc_id", "text", "family", "size"), k, similar)
+    links = links_in_families(own.join(family, "doc_id").select("doc_id", "text", "family", "size"), k, similar)
     # Ids with equal sets are linked too; of these only ids that stand for several sets matter to others.
     found = components(links).select(F.col("node").alias("rep"), F.col("component"))
     named = reps.join(found, "rep", "left").select("n", "x", "y", F.coalesce("component", "rep").alias("c"))
