@@ -41,6 +41,7 @@ def test_encode_like_the_library(ranks, library):
 def test_full_tables_change_nothing(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_PIECES", 5)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 3)
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
     text = "thntblere ofonedsh inthat " * 400 + "thntblereofonedsh" * 2000
     assert codec.encode(text) == library.encode_ordinary(text)

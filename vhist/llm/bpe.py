@@ -21,6 +21,7 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: States kept by one worker, and pieces in each of the two generations whose tokens it remembers.
-MAX_STATES = 400_000
-MAX_PIECES = 300_000
+#: States kept by one worker; pieces and words in each of the two generations whose tokens it remembers.
+MAX_STATES = 250_000
+MAX_PIECES = 100_000
+MAX_WORDS = 300_000
 #: Bytes read between emissions inside one piece.
 LOOKAHEAD = 1024
 #: A space before white space or the end, where the split at spaces isn't safe.
@@ -183,8 +185,8 @@ class Codec:
         self.bytes = {v: k for k, v in ranks.items()}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.older_words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older_words: dict[str, tuple[int, ...]] = {}
 
     def remember(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
@@ -203,25 +205,24 @@ class Codec:
             for piece in self.split(text):
                 out += self.pieces.get(piece) or self.remember(piece)
             return out
-        known = self.words
         first, *rest = text.split(" ")
         for piece in self.split(first):
             out += self.pieces.get(piece) or self.remember(piece)
         for word in rest:
-            out += known.get(word) or self.remember_word(word)
+            out += self.words.get(word) or self.remember_word(word)
         return out
 
-    def remember_word(self, word: str) -> list[int]:
+    def remember_word(self, word: str) -> tuple[int, ...]:
         """The tokens of a word with the space before it."""
         ids = self.older_words.get(word)
         if ids is None:
-            ids = []
+            parts: list[int] = []
             for piece in self.split(" " + word):
-                ids += self.pieces.get(piece) or self.remember(piece)
+                parts += self.pieces.get(piece) or self.remember(piece)
+            ids = tuple(parts)
         if len(word) <= 32 and "\n" not in word:
-            if len(self.words) >= MAX_PIECES:
-                self.older_words = dict(self.words)
-                self.words.clear()
+            if len(self.words) >= MAX_WORDS:
+                self.older_words, self.words = self.words, {}
             self.words[word] = ids
         return ids
 
@@ -235,11 +236,17 @@ class Codec:
         return "".join([machine.decode(b) for b in self.decode_bytes(ids)]) + machine.decode(b"", True)
 
 
+@lru_cache(maxsize=2)
+def codec_for(ranks_path: str, pattern: str) -> Codec:
+    """One for each Python worker, which Spark uses for many tasks."""
+    return Codec(load_ranks(ranks_path), pattern)
+
+
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256; with keep_ids also ids and decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(ranks_path), pattern)
+        codec = codec_for(ranks_path, pattern)
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             for raw in texts(batch):
