@@ -4,10 +4,11 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased. A be
 of `size` consecutive words; a shorter item that has words is one window. One pass counts how often the
 windows' terms stand in the corpus. Each window's `rarest` least frequent terms are its anchors, and a
 window with a term that the corpus lacks is dropped. A second pass stores the index: for each text, the
-positions of anchors, where enough of them stand within a window's length, and of the other test terms
-near these. The anchors' lists, shifted by their offsets in the window, are intersected; the
+positions of the test terms in reach of a window's rarest term whose second rarest stands at its
+distance (elsewhere no window can match). The anchors' lists, shifted by their offsets in the window, are intersected; the
 starts that remain are then intersected with the lists of the window's other terms, which makes matches
-exact. `proximity` finds windows whose anchors stand within `slop` words of their places instead.
+exact. `proximity` finds windows whose anchors stand within `slop` words of their places instead; it
+wants an index that is built with this slop.
 
 Postings are kept under a 128-bit digest of the text, so copies of a text share them and a text
 that a third of all rows hold is matched once. Null text has no words; texts and items without words match
@@ -94,23 +95,23 @@ def ranked(probes: DataFrame, counts: DataFrame) -> DataFrame:
     return met.where("least > 0").withColumn("rank", rank).select("item_id", "w", "len", "off", "term", "rank")
 
 
-def build_index(docs: DataFrame, anchors: frozenset[bytes] | None, terms: frozenset[bytes] | None, size: int, together: int) -> DataFrame:
-    """For each row (doc_id, key, n_words), and for each of its terms that is kept (key, term, positions)."""
+def build_index(docs: DataFrame, starts: dict[bytes, list[tuple[int, bytes]]] | None, terms: frozenset[bytes] | None, size: int, slop: int = 0) -> DataFrame:
+    """For each row (doc_id, key, n_words), and for each of its terms that is kept (key, term, positions). ``starts``: for each
+    window's rarest term the second rarest and its distance; None keeps all positions."""
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
     names = ["doc_id", "key", "n_words", "term", "positions"]
+    reach = size + slop
 
     def near(ws: list[bytes]) -> Iterator[int]:
-        """Positions of test terms around anchors of which enough stand together."""
-        if anchors is None:
+        """Positions within a window's reach of a rarest term whose second stands at its distance, give or take ``slop``."""
+        if starts is None:
             yield from range(len(ws))
             return
-        at = [i for i, w in enumerate(ws) if w in anchors]
         done = 0
-        for k, i in enumerate(at):
-            if k + together <= len(at) and at[k + together - 1] - i < size:
-                lo, hi = max(done, at[k + together - 1] - size + 1, 0), min(len(ws), i + size)
-                yield from range(lo, hi)
-                done = max(done, hi)
+        for i in [i for i, w in enumerate(ws) if w in starts]:
+            if any(second in ws[max(0, i + d - slop) : max(0, i + d + slop + 1)] for d, second in starts[ws[i]]):
+                yield from range(max(done, i - reach + 1, 0), min(len(ws), i + reach))
+                done = max(done, min(len(ws), i + reach))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,19 +147,24 @@ def small(df: DataFrame, bound: int) -> DataFrame:
 class Index:
     """The stored index of a corpus for the windows of a benchmark."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST):
+    def __init__(self, docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST, slop: int = 0):
         probes = stored(windows(items, size))
         vocabulary = probes.select("term").distinct()
         known = None
         if vocabulary.limit(MAX_TERMS + 1).count() <= MAX_TERMS:  # so many words at most come to the driver
             known = frozenset(r[0].encode() for r in vocabulary.collect())
         self.probes = stored(ranked(probes, term_counts(docs, known)))
-        self.rarest = rarest
-        anchors = None
-        if known is not None:
-            anchors = frozenset(r[0].encode() for r in self.probes.where(F.col("rank") < rarest).select("term").distinct().collect())
-        least = self.probes.agg(F.min("len")).first()[0] or size
-        index = build_index(docs, anchors, known, size, min(rarest, least))
+        self.rarest, self.slop = rarest, slop
+        first = self.probes.where("rank = 0").select("item_id", "w", "off", "term")
+        second = self.probes.where(F.col("rank") == F.least(F.lit(1), F.col("len") - 1))
+        second = second.select("item_id", "w", F.col("off").alias("to"), F.col("term").alias("second"))
+        both = first.join(second, ["item_id", "w"]).select("term", (F.col("to") - F.col("off")).alias("distance"), "second").distinct()
+        starts = None
+        if known is not None and both.limit(MAX_PROBES + 1).count() <= MAX_PROBES:  # so many rows at most come to the driver
+            starts = {}
+            for term, distance, other in both.collect():
+                starts.setdefault(term.encode(), []).append((distance, other.encode()))
+        index = build_index(docs, starts, known, size, slop)
         self.docs = index.where("term IS NULL").select("doc_id", "key", "n_words")
         posts = index.where("term IS NOT NULL").select("key", "term", "positions")
         if known is None:
@@ -183,9 +189,9 @@ class Index:
         exact = full.where(F.col("n") == F.col("len") - self.rarest).drop("n")
         return exact.unionByName(begun.where(F.col("len") <= self.rarest))
 
-    def proximity(self, slop: int = 3) -> DataFrame:
+    def proximity(self) -> DataFrame:
         """(key, item_id, w, start, shift): the rarest anchor's start where every other anchor stands within
-        ``slop`` words of its place, and the largest such shift."""
+        `slop` words of its place, and the largest such shift."""
         anchors = self.probes.where(F.col("rank") < self.rarest)
         first = self.postings.join(small(anchors.where("rank = 0"), MAX_PROBES), "term")
         starts = first.select("key", "item_id", "w", "len", "off", F.explode("positions").alias("p"))
@@ -194,7 +200,7 @@ class Index:
         near = rest.join(self.postings, ["key", "term"]).withColumn(
             "shift", F.array_min(F.expr("transform(positions, p -> abs(p - off - start))"))
         )
-        found = near.where(F.col("shift") <= slop).groupBy("key", "item_id", "w", "len", "start")
+        found = near.where(F.col("shift") <= self.slop).groupBy("key", "item_id", "w", "len", "start")
         found = found.agg(F.count("*").alias("n"), F.max("shift").alias("shift"))
         alone = starts.where("len = 1").withColumn("shift", F.lit(0))
         return found.where(F.col("n") == F.least(F.lit(self.rarest), F.col("len")) - 1).drop("n").unionByName(alone)
