@@ -6,8 +6,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from vhist.functions.textdiff import edit_script, lines_of
+from vhist.functions.textdiff import edit_script, lines_of, spans
 from vhist.operators import blame, graph, history, refs, search, shortlog
+from vhist.queries import QUERIES
 from vhist.streaming import ingest
 
 START = datetime(2020, 1, 1)
@@ -195,3 +196,33 @@ def test_ingest(spark, tmp_path):
     assert sorted(x.id for x in ingest.covered(spark, base, schema).collect()) == [1, 2, 3]
     edges = spark.createDataFrame([(3, 0, 2), (1, 0, 0)], "child long, ord int, parent long")
     assert [x.parent for x in ingest.frontier(ingest.covered(spark, base, schema), edges).collect()] == [0]
+
+
+def test_similar_pairs(spark, monkeypatch, tmp_path):
+    """Against all pairs: chains away from a line's smallest path, short lines only, hot lines, copies, CR LF, no text."""
+    monkeypatch.setattr(search, "BLOCK", 4, raising=False)
+    r = random.Random(5)
+    licence = "This line of the licence stands in each of these files, see below.\n"
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)) + "\n"
+    texts = ["", None, "x", "x", "a\r\nb\r\n", "a\r\nb\r\n", "a\nb\n"]
+    for size in (12, 50, 150):
+        for _ in range(3):
+            body = [line(size) for _ in range(8)]
+            for cut in (0, 2, 4, 6):
+                own = body[cut:] + [line(size) for _ in range(cut)]
+                r.shuffle(own)
+                texts.append(licence + "".join(own))
+    texts += [licence] * 9 + [texts[7]] * 6
+    files = {f"s/l/{100 + i}.txt": t for i, t in enumerate(texts)}
+    counted = {p: spans((t or "").encode(), False) for p, t in files.items()}
+    want = set()
+    for a in files:
+        for b in files:
+            big = max(len((files[a] or "").encode()), len((files[b] or "").encode()))
+            score = sum((counted[a] & counted[b]).values()) * 60000 // big if big else 0
+            if a < b and score >= 30000:
+                want.add((a, b, score))
+    docs = [(100 + i, "s", "l", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in QUERIES["rename_similarity"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100

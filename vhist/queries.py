@@ -475,14 +475,8 @@ def rename_exact_pairs(h: History) -> DataFrame:
 
 @query()
 def rename_similarity(h: History) -> DataFrame:
-    """Edited renames among files that share a line of 40 characters or more; not SQL-expressible, since spans are cut by byte."""
-    long = search.line_rows(h.files, F.col("content")).where("length(line) >= 40").select("path", F.xxhash64("line").alias("k")).distinct()
-    # The smallest path of a line stands for it, so a line in many files gives one pair for each file.
-    first = long.groupBy("k").agg(F.min("path").alias("old"), F.count("*").alias("n")).where("n > 1").drop("n")
-    cand = long.join(first, "k").where("path <> old").select("old", F.col("path").alias("new")).distinct()
-    spans = materialized(textdiff.span_rows(h.files, F.col("content"), "path"))
-    sizes = h.files.select("path", F.octet_length("content").alias("size"))
-    return search.similarity(spans, sizes, cand).where("score >= 30000")
+    """All pairs of files that share half of the larger one or more; not SQL-expressible, since spans are cut by byte."""
+    return search.similar_pairs(h.files)
 
 
 # Line differences and blame ---------------------------------------------------------------------------------------------
