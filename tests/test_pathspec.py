@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vhist.functions.pathspec import PathspecError, compile_specs, glob_regex, literal_prefix, parse
+from vhist.operators import attributes
 
 PATHS = ["a.txt", "dir/a.txt", "dir/sub/b.txt", "dir/sub/c.md", "DIR/A.TXT", "star*.txt", "starx.txt", "x/y", "with[b", "é.txt", "dirty/a"]
 
@@ -61,3 +62,32 @@ def test_attributes(spark):
 def test_helpers():
     assert literal_prefix("src/ab*c") == "src/ab"
     assert re.match(glob_regex("a/**", True).replace(r"\z", r"\Z"), "a/b/c")
+
+
+@pytest.mark.parametrize(
+    "base, pattern, expected",
+    [
+        ("", "*", ["README", "a.tar.gz", "docs/a.md", "docs/sub/b.md", "en", "src1/README", "src1/en/x.c", "src1/x.c"]),
+        ("", "README", ["README", "src1/README"]),
+        ("", "/README", ["README"]),
+        ("", "docs/*.md", ["docs/a.md"]),
+        ("", "*.md", ["docs/a.md", "docs/sub/b.md"]),
+        ("", "*.tar.gz", ["a.tar.gz"]),
+        ("", "[ab]*", ["a.tar.gz", "docs/a.md", "docs/sub/b.md"]),
+        ("", "**/x.c", ["src1/en/x.c", "src1/x.c"]),
+        ("", "en/**", []),
+        ("", "src1/**", ["src1/README", "src1/en/x.c", "src1/x.c"]),
+        ("src1", "en/**", ["src1/en/x.c"]),
+        ("src1", "src1/**", []),
+        ("src1", "/x.c", ["src1/x.c"]),
+        ("src1", "README", ["src1/README"]),
+        ("docs", "sub/?.md", ["docs/sub/b.md"]),
+        ("", "docs/", []),
+        ("", "!README", []),
+    ],
+)
+def test_attribute_rules(spark, base, pattern, expected):
+    paths = ["README", "a.tar.gz", "docs/a.md", "docs/sub/b.md", "en", "src1/README", "src1/en/x.c", "src1/x.c"]
+    rules = spark.createDataFrame([(0, 1, base, pattern, "text", "+")], "depth int, line int, base string, pattern string, attribute string, state string")
+    out = attributes.states(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()
+    assert sorted(r.path for r in out) == expected and all(r.state == "+" for r in out)
