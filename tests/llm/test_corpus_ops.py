@@ -158,6 +158,27 @@ def test_decontamination(spark, monkeypatch, limit):
     assert decontaminate.contamination(given.limit(0), frame(items, "item_id")).count() == 0
 
 
+def test_decontamination_item_ids(spark):
+    """Items with one id and different texts, and null ids, against the query's SQL."""
+    import duckdb
+
+    r = random.Random(3)
+    text = lambda: " ".join(r.choice(WORDS) for _ in range(12))
+    items = [(1, text()), (1, text()), (1, text()), (2, text()), (None, text()), (None, text())]
+    items.append((3, items[3][1]))
+    docs = [(i, f"{text()} {t} {text()}") for i, (_, t) in enumerate(items)] + [(20, items[0][1] + " " + items[4][1]), (21, text())]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    out = decontaminate.contamination(frame(docs, "doc_id"), frame(items, "item_id"))
+    c = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        c.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        c.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    out = out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated").collect()
+    assert sorted(tuple(x) for x in out) == sorted(c.sql(decontaminate.ORACLE_OP4).fetchall())
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in out}
+    assert got[20] == (24, 2) and got[4] == got[5] == (12, 1) and got[3][1] == 2 and got[21] == (0, 0)
+
+
 def test_proximity(spark):
     item = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma y delta"), (3, "delta " + "z " * 20 + "alpha beta gamma")], "doc_id long, text string")

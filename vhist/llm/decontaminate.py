@@ -13,7 +13,8 @@ wants an index that is built with this slop.
 Postings are kept under a 128-bit digest of the text, so copies of a text share them and a text
 that a third of all rows hold is matched once. Null text has no words; texts and items without words match
 nothing. Null or repeated ids are kept: there is one output row for each input row. An item given twice
-counts once. Extra columns are left out. The test terms go to all tasks as a set while they are at
+counts once, items with one id and different texts are one item with the windows of all, and items with a null id are one item
+that counts in `n_hit` and `n_items` but has no name in `items`. Windows are known by a 128-bit digest of their words. Extra columns are left out. The test terms go to all tasks as a set while they are at
 most `MAX_TERMS`; beyond that all terms are counted and stored, and Spark joins them.
 """
 
@@ -42,26 +43,27 @@ def words(raw: bytes) -> list[bytes]:
 
 
 def windows(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, w, len, off, term): each window's words with their offsets."""
+    """(item_id, w, len, off, term): each window's words with their offsets; `w` is a digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             for item, raw in zip(batch.column(0).to_pylist(), texts(batch)):
                 ws = words(raw)
-                for w in range(max(1, len(ws) - size + 1) if ws else 0):
-                    own = ws[w : w + size]
+                for at in range(max(1, len(ws) - size + 1) if ws else 0):
+                    own = ws[at : at + size]
+                    w = hashlib.blake2b(b" ".join(own), digest_size=16).digest()
                     for off, term in enumerate(own):
                         for to, x in zip(rows, (item, w, len(own), off, term)):
                             to.append(x)
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(r, k) if k != pa.string() or n == 0 else pa.array(r, pa.binary()).cast(pa.string()) for n, (r, k) in enumerate(zip(rows, kinds))],
                 ["item_id", "w", "len", "off", "term"],
             )
 
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    return rows.mapInArrow(run, "item_id string, w int, len int, off int, term string")
+    return rows.mapInArrow(run, "item_id string, w binary, len int, off int, term string")
 
 
 def term_counts(docs: DataFrame, terms: frozenset[bytes] | None) -> DataFrame:
@@ -89,10 +91,10 @@ def term_counts(docs: DataFrame, terms: frozenset[bytes] | None) -> DataFrame:
 
 def ranked(probes: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds `rank` (0: rarest) to each window's terms; windows with an absent term go."""
-    w = Window.partitionBy("item_id", "w")
+    w = Window.partitionBy("w")
     met = probes.join(counts, "term", "left").withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(w))
     rank = F.row_number().over(w.orderBy("n", "off")) - 1
-    return met.where("least > 0").withColumn("rank", rank).select("item_id", "w", "len", "off", "term", "rank")
+    return met.where("least > 0").withColumn("rank", rank).select("w", "len", "off", "term", "rank")
 
 
 def build_index(docs: DataFrame, starts: dict[bytes, list[tuple[int, bytes]]] | None, terms: frozenset[bytes] | None, size: int, slop: int = 0) -> DataFrame:
@@ -148,17 +150,19 @@ class Index:
     """The stored index of a corpus for the windows of a benchmark."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST, slop: int = 0):
-        probes = stored(windows(items, size))
+        given = stored(windows(items, size))
+        self.named = given.select("w", "item_id").distinct()
+        probes = stored(given.drop("item_id").dropDuplicates(["w", "off"]))
         vocabulary = probes.select("term").distinct()
         known = None
         if vocabulary.limit(MAX_TERMS + 1).count() <= MAX_TERMS:  # so many words at most come to the driver
             known = frozenset(r[0].encode() for r in vocabulary.collect())
         self.probes = stored(ranked(probes, term_counts(docs, known)))
         self.rarest, self.slop = rarest, slop
-        first = self.probes.where("rank = 0").select("item_id", "w", "off", "term")
+        first = self.probes.where("rank = 0").select("w", "off", "term")
         second = self.probes.where(F.col("rank") == F.least(F.lit(1), F.col("len") - 1))
-        second = second.select("item_id", "w", F.col("off").alias("to"), F.col("term").alias("second"))
-        both = first.join(second, ["item_id", "w"]).select("term", (F.col("to") - F.col("off")).alias("distance"), "second").distinct()
+        second = second.select("w", F.col("off").alias("to"), F.col("term").alias("second"))
+        both = first.join(second, "w").select("term", (F.col("to") - F.col("off")).alias("distance"), "second").distinct()
         starts = None
         if known is not None and both.limit(MAX_PROBES + 1).count() <= MAX_PROBES:  # so many rows at most come to the driver
             starts = {}
@@ -172,20 +176,20 @@ class Index:
         self.postings = posts.dropDuplicates(["key", "term"])
 
     def started(self) -> DataFrame:
-        """(key, item_id, w, len, start): where all of a window's anchors stand at their offsets."""
+        """(key, w, len, start): where all of a window's anchors stand at their offsets."""
         anchors = small(self.probes.where(F.col("rank") < self.rarest), MAX_PROBES)
-        at = self.postings.join(anchors, "term").select("key", "item_id", "w", "len", "off", F.explode("positions").alias("p"))
+        at = self.postings.join(anchors, "term").select("key", "w", "len", "off", F.explode("positions").alias("p"))
         at = at.withColumn("start", F.col("p") - F.col("off")).where("start >= 0")
-        agreed = at.groupBy("key", "item_id", "w", "len", "start").agg(F.count("*").alias("n"))
+        agreed = at.groupBy("key", "w", "len", "start").agg(F.count("*").alias("n"))
         return agreed.where(F.col("n") == F.least(F.lit(self.rarest), F.col("len"))).drop("n")
 
     def matches(self) -> DataFrame:
-        """(key, item_id, w, len, start) of exact matches."""
+        """(key, w, len, start) of exact matches."""
         begun = stored(self.started())
         others = small(self.probes.where(F.col("rank") >= self.rarest).drop("rank", "len"), MAX_PROBES)
-        left = begun.join(others, ["item_id", "w"])
+        left = begun.join(others, "w")
         held = left.join(self.postings, ["key", "term"]).where(F.expr("array_contains(positions, start + off)"))
-        full = held.groupBy("key", "item_id", "w", "len", "start").agg(F.count("*").alias("n"))
+        full = held.groupBy("key", "w", "len", "start").agg(F.count("*").alias("n"))
         exact = full.where(F.col("n") == F.col("len") - self.rarest).drop("n")
         return exact.unionByName(begun.where(F.col("len") <= self.rarest))
 
@@ -194,32 +198,33 @@ class Index:
         `slop` words of its place, and the largest such shift."""
         anchors = self.probes.where(F.col("rank") < self.rarest)
         first = self.postings.join(small(anchors.where("rank = 0"), MAX_PROBES), "term")
-        starts = first.select("key", "item_id", "w", "len", "off", F.explode("positions").alias("p"))
-        starts = starts.select("key", "item_id", "w", "len", (F.col("p") - F.col("off")).alias("start"))
-        rest = starts.join(small(anchors.where("rank > 0").drop("len", "rank"), MAX_PROBES), ["item_id", "w"])
+        starts = first.select("key", "w", "len", "off", F.explode("positions").alias("p"))
+        starts = starts.select("key", "w", "len", (F.col("p") - F.col("off")).alias("start"))
+        rest = starts.join(small(anchors.where("rank > 0").drop("len", "rank"), MAX_PROBES), "w")
         near = rest.join(self.postings, ["key", "term"]).withColumn(
             "shift", F.array_min(F.expr("transform(positions, p -> abs(p - off - start))"))
         )
-        found = near.where(F.col("shift") <= self.slop).groupBy("key", "item_id", "w", "len", "start")
+        found = near.where(F.col("shift") <= self.slop).groupBy("key", "w", "len", "start")
         found = found.agg(F.count("*").alias("n"), F.max("shift").alias("shift"))
         alone = starts.where("len = 1").withColumn("shift", F.lit(0))
-        return found.where(F.col("n") == F.least(F.lit(self.rarest), F.col("len")) - 1).drop("n").unionByName(alone)
+        return found.where(F.col("n") == F.least(F.lit(self.rarest), F.col("len")) - 1).drop("n").unionByName(alone).join(self.named, "w")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: int = RAREST) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items (sorted array), contaminated."""
     index = Index(docs, items, size, rarest)
-    found = stored(index.matches().select("key", "item_id", "len", "start"))
+    found = stored(index.matches())
     end = F.col("start") + F.col("len")
     before = F.max(end).over(Window.partitionBy("key").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1))
     spans = found.select("key", "start", "len").distinct().withColumn("before", F.coalesce(before, F.lit(0)))
     hit = spans.groupBy("key").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "before"))).alias("n_hit"))
-    named = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    met = found.select("key", "w").distinct().join(index.named, "w")
+    named = met.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
     out = index.docs.join(hit.join(named, "key"), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), (F.size(items_of) + F.coalesce("unnamed", F.lit(0))).cast("long").alias("n_items"), items_of.alias("items"), (n_hit > 0).alias("contaminated")
     )
 
 
