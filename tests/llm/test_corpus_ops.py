@@ -91,7 +91,7 @@ def test_partenum_shares_a_signature():
 
 def test_line_dedup(spark):
     r = random.Random(6)
-    pool = [f"line {i} " + "x" * r.choice([0, 5, 200]) for i in range(12)] + [""]
+    pool = [f"line {i} " + "x" * r.choice([0, 5, 60, 100, 200]) for i in range(16)] + [""]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 30)))) for i in range(40)]
     rows += [(100, rows[3][1]), (101, None), (102, ""), (103, "a\nb\nc\nd\na\nb\nc\nd")]
     docs = spark.createDataFrame([(*x, 7) for x in rows] + [(*rows[5], 7)], "doc_id long, text string, n_lines int")
@@ -99,11 +99,11 @@ def test_line_dedup(spark):
     first, gone, longest = {}, defaultdict(set), defaultdict(int)
     for i, t in sorted(rows):
         ls = (t or "").split("\n") if t is not None else []
-        for n in (1, 2, 4, 8, 16, 32):
+        for n in (1, 2, 3, 4, 8, 16, 32):
             for at in range(len(ls) - n + 1):
                 if first.setdefault((n, tuple(ls[at : at + n])), (i, at)) < (i, at):
-                    longest[i] = max(longest[i], n)
-                    if n == line_dedup.RUN or n == 1 and len(ls[at]) >= line_dedup.CHARS:
+                    longest[i] = max(longest[i], n if n != 3 else 2)
+                    if n == line_dedup.RUN or n < line_dedup.RUN and sum(map(len, ls[at : at + n])) >= line_dedup.CHARS:
                         gone[i] |= set(range(at, at + n))
     for x in out:
         t = dict(rows)[x.doc_id]
@@ -116,6 +116,18 @@ def test_line_dedup(spark):
     assert len(out) == len(rows) + 1 and sum(map(len, gone.values())) > 30
 
 
+def test_line_dedup_short_lines(spark):
+    """A passage of over 50 words on two or three lines, each below 160 characters, in two documents; clashing columns stay."""
+    two, three = ["a " * 60, "b " * 40], ["c " * 27, "d " * 27, "e " * 27]
+    rows = [(1, "\n".join(["x", *two, "y"])), (2, "\n".join([*two, "z"])), (3, "\n".join(three)), (4, "\n".join(["q", *three, "r"])), (5, "\n".join(three[:2]))]
+    rows.append((6, "\n".join(["w " * 10_000] * 3 + [f"line {i}" for i in range(3000)])))
+    docs = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "doc_id long, text string, d int, _h int, row int")
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(docs).collect()}
+    assert {i: got[i].text for i in range(1, 6)} == {1: rows[0][1], 2: "z", 3: rows[2][1], 4: "q\nr", 5: rows[4][1]}
+    assert got[6].text == "\n".join(["w " * 10_000] + [f"line {i}" for i in range(3000)]) and got[6].n_deleted == 2
+    assert (got[2].d, got[2]._h, got[2].row) == (1, 2, 3)
+
+
 def test_line_dedup_null_ids_and_empty(spark):
     long = "x" * 300
     docs = spark.createDataFrame([(None, long), (4, long), (4, long + "\ny")], "doc_id long, text string")
