@@ -38,6 +38,27 @@ def test_encode_like_the_library(ranks, library):
         assert codec.encode(text) == library.encode_ordinary(text)
 
 
+def test_utf8_machine(ranks):
+    """Any bytes, cut anywhere, against the whole decoded at once; and tokens that cut characters."""
+    r = random.Random(8)
+    pool = "aé漢🎉\u07ff\u0800\uffff\U0010ffff".encode()
+    odd = [b"\x80", b"\xc0\xaf", b"\xe0\x9f\xbf", b"\xed\xa0\x80", b"\xf0\x8f\xbf\xbf", b"\xf4\x90\x80\x80", b"\xf8", b"\xff", b"\xe2\x82", b"\xf0\x9f\x8e"]
+    for _ in range(3000):
+        data = b"".join(r.choice([pool, pool[: r.randrange(len(pool))], r.choice(odd), bytes([r.randrange(256)])]) for _ in range(r.randrange(6)))
+        machine, out, at = bpe.Utf8(), b"", 0
+        while at < len(data):
+            step = r.randrange(1, 5)
+            out += machine.feed(data[at : at + step])
+            at += step
+            assert not out or out.decode()
+        assert (out + machine.end()).decode() == data.decode("utf-8", "replace")
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    bytewise = [ranks[bytes([b])] for b in "né漢🎉 x".encode()]
+    assert codec.decode(bytewise) == "né漢🎉 x" and codec.decode(bytewise[:2] + bytewise[-1:]) == "n\ufffdx"
+    ids = [r.choice(list(ranks.values())) for _ in range(9000)]
+    assert codec.decode(ids) == b"".join(codec.bytes[i] for i in ids).decode("utf-8", "replace")
+
+
 def test_full_tables_change_nothing(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_PIECES", 5)
@@ -56,6 +77,8 @@ def test_bpe_rows(spark, ranks, library):
         assert (x.doc_id, x.n_tokens, x.ids, x.decoded) == (doc, len(ids), ids, text or "")
         assert x.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    broken = spark.sql("SELECT 1L AS doc_id, CAST(X'41FF42' AS STRING) AS text")
+    assert bpe.bpe_round_trip(broken, public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN, keep_ids=True).first().decoded == "A\ufffdB"
     assert bpe.bpe_round_trip(docs.limit(0), public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN).count() == 0
 
 

@@ -8,17 +8,19 @@ token, with the last token at each. Tokens are emitted where the back links of a
 the longest token bounds the lookahead. States and transitions are made when first met and kept in a
 table whose size is capped; a full table is emptied, which costs time and never changes a result.
 
-Decoding. Tokens are turned to bytes chunk by chunk, and an incremental UTF-8 state machine turns these
-into text, so that no character is cut and memory doesn't grow with the text.
+Decoding. Tokens come as a stream. An incremental UTF-8 state machine (`Utf8`) passes over their bytes and lets whole
+characters through; what a token leaves open waits for the next one, so no character is cut and memory doesn't grow
+with the text. Bytes that can't be a character become U+FFFD. Which tokens begin and end between characters is found once
+by the machine; runs of these pass in one piece, all others byte by byte.
 
 Null text counts as empty: no tokens, digests of the empty string. Rows are independent; repeated rows
-give repeated results, extra columns are left out. Special tokens are never produced.
+give repeated results, extra columns are left out. Special tokens are never produced. Bytes of a text that aren't UTF-8 are read
+as U+FFFD.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import strings, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States kept by one worker; pieces and words in each of the two generations whose tokens it remembers.
@@ -176,6 +178,75 @@ class Transducer:
         return [t for part in self.tokens(piece) for t in part]
 
 
+#: A character's bytes from its first one on: (first, last, the ranges of those that follow). The ranges after E0, ED, F0 and F4
+#: leave out overlong forms, surrogates and what is beyond U+10FFFF. Fixed values of UTF-8.
+_ANY = (0x80, 0xBF)
+UTF8 = [
+    (0x00, 0x7F, []),
+    (0xC2, 0xDF, [_ANY]),
+    (0xE0, 0xE0, [(0xA0, 0xBF), _ANY]),
+    (0xE1, 0xEC, [_ANY, _ANY]),
+    (0xED, 0xED, [(0x80, 0x9F), _ANY]),
+    (0xEE, 0xEF, [_ANY, _ANY]),
+    (0xF0, 0xF0, [(0x90, 0xBF), _ANY, _ANY]),
+    (0xF1, 0xF3, [_ANY, _ANY, _ANY]),
+    (0xF4, 0xF4, [(0x80, 0x8F), _ANY, _ANY]),
+]
+REPLACED = "\ufffd".encode()
+
+
+def utf8_states() -> list[dict[int, int]]:
+    """For each state, by byte, the next one; 0 is between characters. A state is what still has to follow."""
+    names: dict[tuple, int] = {(): 0}
+    states: list[dict[int, int]] = [{}]
+
+    def state(rest: tuple) -> int:
+        if rest not in names:
+            names[rest] = len(states)
+            states.append({})
+            (low, high), after = rest[0], state(rest[1:])
+            states[names[rest]].update({b: after for b in range(low, high + 1)})
+        return names[rest]
+
+    for first, last, rest in UTF8:
+        states[0].update({b: state(tuple(rest)) for b in range(first, last + 1)})
+    return states
+
+
+class Utf8:
+    """The machine: bytes in, whole characters out, as UTF-8."""
+
+    STATES = utf8_states()
+
+    def __init__(self) -> None:
+        self.state, self.open = 0, b""
+
+    def feed(self, data: bytes) -> bytes:
+        out, start, done, now, states = [], 0, len(self.open), self.state, self.STATES
+        data = self.open + data
+        for k in range(done, len(data)):
+            to = states[now].get(data[k])
+            if to is None and now:
+                # The open character ends here; this byte may begin another.
+                out.append(REPLACED)
+                now, start = 0, k
+                to = states[0].get(data[k])
+            if to is None:
+                out.append(REPLACED)
+                start = k + 1
+            elif to:
+                now = to
+            else:
+                out.append(data[start : k + 1])
+                now, start = 0, k + 1
+        self.state, self.open = now, data[start:]
+        return b"".join(out)
+
+    def end(self) -> bytes:
+        left, self.state, self.open = self.open, 0, b""
+        return REPLACED if left else b""
+
+
 class Codec:
     """Splits texts by the pattern, encodes each piece, and decodes."""
 
@@ -183,6 +254,11 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.fst = Transducer(ranks)
         self.bytes = {v: k for k, v in ranks.items()}
+        #: By token, whether it begins and ends between characters.
+        self.closed = np.zeros(max(ranks.values(), default=-1) + 1, bool)
+        for token, i in ranks.items():
+            machine = Utf8()
+            self.closed[i] = machine.feed(token) == token and not machine.state
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -226,14 +302,27 @@ class Codec:
             self.words[word] = ids
         return ids
 
-    def decode_bytes(self, ids: list[int], chunk: int = 4096) -> Iterator[bytes]:
-        names = self.bytes
+    def decode_stream(self, ids: np.ndarray, chunk: int = 4096) -> Iterator[bytes]:
+        """Whole characters, as UTF-8, of a sequence of tokens."""
+        names, machine = self.bytes, Utf8()
         for at in range(0, len(ids), chunk):
-            yield b"".join([names[i] for i in ids[at : at + chunk]])
-
-    def decode(self, ids: list[int], errors: str = "replace") -> str:
-        machine = codecs.getincrementaldecoder("utf-8")(errors)
-        return "".join([machine.decode(b) for b in self.decode_bytes(ids)]) + machine.decode(b"", True)
+            part = ids[at : at + chunk]
+            opened, own = np.flatnonzero(~self.closed[part]).tolist(), part.tolist()
+            k = 0
+            for stop in [*opened, len(own)]:
+                # Tokens that leave nothing open pass in one piece, unless something is open before them.
+                while machine.state and k < stop:
+                    yield machine.feed(names[own[k]])
+                    k += 1
+                yield b"".join([names[i] for i in own[k:stop]])
+                k = max(k, stop)
+                if k < len(own):
+                    yield machine.feed(names[own[k]])
+                    k += 1
+        yield machine.end()
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(self.decode_stream(np.array(ids, np.int64))).decode()
 
 
 @lru_cache(maxsize=2)
@@ -249,13 +338,14 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: boo
         codec = codec_for(ranks_path, pattern)
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
-            for raw in texts(batch):
-                ids = codec.encode(raw.decode())
+            for text in strings(batch):
+                ids = codec.encode(text)
+                packed = np.array(ids, "<u4")
                 seen = hashlib.sha256()
-                for part in codec.decode_bytes(ids):
+                for part in codec.decode_stream(packed):
                     seen.update(part)
                 rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                rows[1].append(hashlib.sha256(packed.tobytes()).hexdigest())
                 rows[2].append(seen.hexdigest())
                 if keep_ids:
                     rows[3].append(ids)

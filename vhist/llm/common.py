@@ -16,9 +16,11 @@ HELD_OUT_FOLD = 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that setting is absent (local tests)."""
+    """A new folder under spark.checkpoint.dir; a temporary one only where that setting is absent in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -53,3 +55,9 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
     for value in column:
         yield value.as_py() or b""
+
+
+def strings(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
+    """The values of a string column; null gives ''. Bytes that aren't UTF-8 become U+FFFD."""
+    for raw in texts(batch, name):
+        yield raw.decode("utf-8", "replace")
