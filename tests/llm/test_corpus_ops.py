@@ -262,4 +262,34 @@ def test_secrets(spark):
         want = {(m.start(), m.end(), k) for k, (p, g, least) in base.items() for m in p.finditer(text or "") if len(m[g]) >= least}
         assert {(s.start, s.end, s.kind) for s in x.spans if s.kind in base} == want
     assert len(out) == len(texts) + 2 and any(s.kind == "github" for x in out for s in x.spans)
-    assert secrets.trigram_query(secrets.RULES[2]) == [] and secrets.trigram_query(secrets.RULES[1]) == [["aki", "kia"]]
+    out = secrets.find_secrets(docs.selectExpr("doc_id", "text", "1 AS key", "2 AS spans", "3 AS row")).where("doc_id = 4").first()
+    assert (out.key, out.row) == (1, 3) and len(out.spans) == 1
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
+    many = spark.createDataFrame([(1, ("f" * 24 + " ") * 20_000), (2, ("f" * 24 + " ") * 20_000)], "doc_id long, text string")
+    assert [len(x.spans) for x in secrets.find_secrets(many).collect()] == [20_000] * 2
+
+
+def test_trigram_queries():
+    """Derived queries hold for every match, and only patterns without a mandatory trigram have none."""
+    import re
+
+    q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    assert q["hex"] is None and q["access"] == ("and", "aki", "kia") and q["jwt"] == ("and", ".ey", "eyj")
+    assert q["github"] == ("or", ("and", "gho", "ho_"), ("and", "ghp", "hp_"), ("and", "ghr", "hr_"), ("and", "ghs", "hs_"), ("and", "ghu", "hu_"))
+    assert {"rsa"} & secrets.trigrams_in(q["pem"]) == set() and {"beg", "pri", "key"} <= secrets.trigrams_in(q["pem"])
+    assert secrets.trigrams_in(q["assign"]) >= {"pas", "wor", "sec", "tok", "api", "key"}
+    assert [secrets.trigram_query(p) for p in ("ab", "a?b?c?", "(abc)?d", "abc|d", "x*")] == [None] * 5
+    assert secrets.trigram_query("(abcd|xyz)+\\d") == ("or", ("and", "abc", "bcd"), "xyz")
+
+    def holds(query, text):
+        return query is None or (query in text if isinstance(query, str) else (all if query[0] == "and" else any)(holds(x, text) for x in query[1:]))
+
+    r = random.Random(7)
+    for p in [r"ab[cd]e?fg", r"(foo|ba[rz]|q)x{1,3}yz", r"(?i:aBc)d+ef?", r"a(bc(de|fg)h|ij)+k", "[ab]{3}cde"]:
+        query, hit = secrets.trigram_query(p), 0
+        for _ in range(60_000):
+            text = "".join(r.choice("abcdefghijkxyzqoABC"[: r.choice([8, 12, 19])]) for _ in range(9))
+            if re.search(p, text):
+                hit += 1
+                assert holds(query, text.lower()), (p, query, text)
+        assert hit or p.startswith("(foo")
