@@ -226,23 +226,44 @@ def test_neighbours(spark):
 
 def test_warc(spark, tmp_path):
     big, small = "é" * 60, "x" * 99
-    rows = [(3, "u3", big), (1, "u1", big), (2, "u2", small), (4, "u4", small), (5, None, None), (6, "u6", ""), (7, "a\r\nb", big + "!"), (None, "n", big)]
-    pages = spark.createDataFrame([(*x, "c") for x in rows], "page_id long, url string, html string, payload string")
+    rows = [(3, "u3", big), (1, "u1", big), (2, "u2", small), (4, "u4", small), (5, None, None), (6, "u6", ""), (7, "a\r\nb\u00e9", big + "!"), (None, "n", big), (None, "m", big)]
+    rows += [(8, "u8", "z\r\n\r\n" * 50_000), (1, "u1", big), (2, "u2", small)]
+    pages = spark.createDataFrame([(*x, "c", 1) for x in rows], "page_id long, url string, html string, payload string, first int")
     path = f"file://{tmp_path}/archive"
     warc.write_archive(pages, path)
-    out = {x.page_id: x for x in warc.read_archive(spark, path).collect()}
-    assert len(out) == 8 and [(out[i].record_type, out[i].refers_to) for i in (1, 2, 3, 4)] == [("response", None), ("response", None), ("revisit", 1), ("response", None)]
-    assert out[None].record_type == "revisit" and out[1].payload_bytes == 120 and out[5].payload_bytes == out[6].payload_bytes == 0
-    whole = {x.page_id: x for x in warc.reconstruct(spark, path, fill_revisits=True).collect()}
-    for i, _, html in rows:
-        assert bytes(whole[i].payload).decode() == (html or "") and bytes(whole[i].record).endswith((html or "").encode() + b"\r\n\r\n")
-        assert bytes(whole[i].record).startswith(b"WARC/1.1\r\nWARC-Type: ")
-    assert spark.read.parquet(f"{path}/payloads").count() == 4
-    stolen = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit(b"!")))
-    stolen.write.parquet(f"{path}-bad/payloads")
-    spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-bad/headers")
-    with pytest.raises(Exception, match="fit its digest"):
-        warc.read_archive(spark, f"{path}-bad").collect()
+    all_rows = warc.read_archive(spark, path).collect()
+    out = {x.page_id: x for x in all_rows}
+    assert len(all_rows) == len(rows) and [(out[i].record_type, out[i].refers_to) for i in (1, 2, 3, 4)] == [("response", None), ("response", None), ("revisit", 1), ("response", None)]
+    assert out[None].record_type == "revisit" and out[1].payload_bytes == out[3].payload_bytes == 120 and out[5].payload_bytes == out[6].payload_bytes == 0
+    assert sorted((x.page_id or 0, x.url) for x in all_rows) == sorted((i or 0, u or "") for i, u, _ in rows)
+    whole = warc.parse(warc.reconstruct(spark, path)).collect()
+    html = {i: (t or "").encode() for i, _, t in rows}
+    ids = {x.page_id: x.record_id for x in whole}
+    for x in whole:
+        record, own = bytes(x.record), bytes(x.payload)
+        head, http, *_ = record.split(b"\r\n\r\n")
+        fields = dict(f.split(b": ", 1) for f in head.split(b"\r\n")[1:])
+        assert record.startswith(b"WARC/1.1\r\nWARC-Type: ") and http.startswith(b"HTTP/1.1 200 OK\r\n")
+        assert {b"WARC-Record-ID", b"WARC-Date", b"WARC-Type", b"Content-Length"} <= set(fields)
+        assert len(record) == len(head) + 4 + int(fields[b"Content-Length"]) + 4 and record.endswith(own + b"\r\n\r\n")
+        assert own == (b"" if x.record_type == "revisit" else html[x.page_id])
+        if x.record_type == "revisit":
+            assert fields[b"WARC-Refers-To"].decode() == ids[x.refers_to] and b"identical-payload-digest" in fields[b"WARC-Profile"]
+    assert len({x.record_id for x in whole}) == len({(i, u) for i, u, _ in rows})
+    stored = spark.read.parquet(f"{path}/payloads")
+    assert stored.count() == 5
+    stored.withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(f"{path}-bad/payloads")
+    stored.where("length(payload) <> 120").write.parquet(f"{path}-lost/payloads")
+    for name, error in (("bad", "fit its digest"), ("lost", "no payload under")):
+        spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-{name}/headers")
+        with pytest.raises(Exception, match=error):
+            warc.read_archive(spark, f"{path}-{name}").collect()
+    warc.write_archive(pages.limit(0), f"{path}-none")
+    assert warc.read_archive(spark, f"{path}-none").count() == 0
+    same = spark.createDataFrame([(None, "u", big)] * 3, "page_id long, url string, html string")
+    warc.write_archive(same, f"{path}-same")
+    assert [x.record_type for x in warc.read_archive(spark, f"{path}-same").collect()] == ["response"] * 3
+    assert spark.read.parquet(f"{path}-same/payloads").count() == 1
 
 
 def test_secrets(spark):
