@@ -104,6 +104,83 @@ def test_html(spark):
         html_text.CHUNK = chunked
 
 
+TEXT = "Some words of a story that goes on for a while, with a comma and no link in it at all. "
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        # Neither article nor main: the ratio alone finds the element; its short lines and heading stay.
+        ("<div><a href=a>One</a> <a href=b>Two</a></div><div><h1>Head</h1><p>{t}{t}</p><p>Short.</p><p>{t}</p></div><div><a href=c>More of this</a><p>Tiny</p></div>", "Head\n{tt}\nShort.\n{t}"),
+        # Directly in the body, between unnamed menus.
+        ("<body><div><a href=a>One</a></div><h1>Head</h1><p>{t}</p><p>Short.</p><p>{t}</p><p>End.</p><div><p>x</p></div></body>", "Head\n{t}\nShort.\n{t}\nEnd."),
+        # A heading before the region; a list and a quote in it; a cell is no region of its own.
+        ("<body><h1>Head</h1><div><p>{t}</p><ul><li>one<li>two</ul><blockquote><p>{t}{t}</p></blockquote><table><tr><td>cell</table></div>", "Head\n{t}\none\ntwo\n{tt}\ncell"),
+        # Misleading names.
+        ('<div class="layout has-sidebar"><article><p>{t}</p></article><div class="sidebar"><p>{t}</p></div></div>', "{t}"),
+        ('<div id="page-with-comments"><div><p>{t}</p></div><div class=comments><p>{t}{t}</p></div></div>', "{t}"),
+        ('<section class="social-policy"><main><p>{t}</p><p>a</p></main></section>', "{t}\na"),
+        ('<div class="menu"><p>{t}</p><p>Short.</p></div>', "{t}\nShort."),
+        # Noise in noise, and comments that are articles.
+        ('<main><h1>H</h1><p>Hi.</p><div class=comments><article class="comment"><p>{t}</p><div class=ad>{t}</div></article></div></main>', "H\nHi."),
+        ('<article><p>{t}</p></article><section id="comments"><article><p>{t}</p></article></section><footer><p>{t}</p></footer>', "{t}"),
+        # Advert and heading of equal length, one short paragraph.
+        ('<body><nav><a href=a>menu</a></nav><div class="ad">{t}</div><article><h1>Head</h1><p>Hi.</p></article><footer>{t}</footer>', "Head\nHi."),
+        ("<ul><li><a href=a>only links</a></ul>", ""),
+        ("<article><p>&eacute;&#8212;&nbsp;x\ty</p><svg><text>no</text></svg><p>b<span class=share-button>no</span><button>no</button>c</p><pre>a\n b</pre></article>", "\u00e9\u2014 x y\nbc\na b"),
+    ],
+)
+def test_html_regions(html, want):
+    fill = lambda x: x.replace("{tt}", (TEXT + TEXT).strip()).replace("{t}{t}", TEXT + TEXT).replace("{t}", TEXT.strip())
+    assert html_text.main_text(fill(html)) == fill(want)
+
+
+def test_html_ratio_decides(monkeypatch):
+    """Smoothing and clustering against a plain version; without the ratio results differ on every page here."""
+    import math
+
+    r = random.Random(3)
+    for _ in range(40):
+        made = [(r.randrange(300), r.randrange(1, 4), r.choice([0, 0, 0, 1, 2])) for _ in range(r.randrange(1, 30))]
+        lines = [html_text.Line("x" * n, tags, 0, mark, 0, False) for n, tags, mark in made]
+        out = [0.0] * len(made)
+        for mark in (0, 1, 2):
+            own = [k for k, x in enumerate(made) if x[2] == mark]
+            for p, k in enumerate(own):
+                near = [(math.exp(-(d**2) / 2), made[own[min(max(p + d, 0), len(own) - 1)]]) for d in range(-3, 4)]
+                out[k] = sum(w * n / t for w, (n, t, _) in near) / sum(w for w, _ in near) * (0.001 if mark else 1)
+        mean = sum(out) / len(out)
+        std = math.sqrt(sum((x - mean) ** 2 for x in out) / len(out))
+        limit = min(max(std, max(out) / 10), max(out) / 3)
+        want = [x >= limit and max(out) > 0 for x in out]
+        sure = [abs(x - limit) > 1e-9 for x in out]
+        got = html_text.seeds_of(lines, 1.0)
+        assert all(a == b for a, b, s in zip(got, want, sure) if s)
+        runs = []
+        for mark in (0, 1, 2):
+            before = None
+            for k in [k for k, x in enumerate(made) if x[2] == mark]:
+                if got[k]:
+                    if before is not None and runs and runs[-1][-1] == before:
+                        runs[-1].append(k)
+                    else:
+                        runs.append([k])
+                before = k if got[k] else None
+        assert sorted(html_text.clusters_of(got, [x[2] for x in made])) == sorted((x[0], x[-1]) for x in runs)
+    before = html_text.main_text(PAGE)
+    monkeypatch.setattr(html_text, "seeds_of", lambda lines, sigma: [True] * len(lines))
+    assert html_text.main_text(PAGE) != before
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, "u", "<p>a", "x")]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars string")).collect()
+    assert len(out) == 3 and out[0] == out[1] and out[2].text == "a"
+    assert html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
+    broken = spark.sql("SELECT 1L AS page_id, 'u' AS url, CAST(X'3C703E41FF' AS STRING) AS html")
+    assert html_text.extract(broken).first().text == "A\ufffd"
+
+
 def test_quality(spark):
     r = random.Random(1)
     words = ["the", "river", "and", "stone", "of", "light", "under", "trees", "walks", "home"]
