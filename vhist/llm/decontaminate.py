@@ -15,7 +15,8 @@ that a third of all rows hold is matched once. Null text has no words; texts and
 nothing. Null or repeated ids are kept: there is one output row for each input row. An item given twice
 counts once, items with one id and different texts are one item with the windows of all, and items with a null id are one item
 that counts in `n_hit` and `n_items` but has no name in `items`. Windows are known by a 128-bit digest of their words. Extra columns are left out. The test terms go to all tasks as a set while they are at
-most `MAX_TERMS`; beyond that all terms are counted and stored, and Spark joins them.
+most `MAX_TERMS`; beyond that all terms are counted and stored, and Spark joins them. The windows' terms are a stored table, which Spark sends to all
+tasks by its size in bytes or joins by shuffles.
 """
 
 from __future__ import annotations
@@ -141,11 +142,6 @@ def build_index(docs: DataFrame, starts: dict[bytes, list[tuple[int, bytes]]] |
     return stored(rows.mapInArrow(run, "doc_id long, key binary, n_words long, term string, positions array<int>"))
 
 
-def small(df: DataFrame, bound: int) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 class Index:
     """The stored index of a corpus for the windows of a benchmark."""
 
@@ -177,7 +173,7 @@ class Index:
 
     def started(self) -> DataFrame:
         """(key, w, len, start): where all of a window's anchors stand at their offsets."""
-        anchors = small(self.probes.where(F.col("rank") < self.rarest), MAX_PROBES)
+        anchors = self.probes.where(F.col("rank") < self.rarest)
         at = self.postings.join(anchors, "term").select("key", "w", "len", "off", F.explode("positions").alias("p"))
         at = at.withColumn("start", F.col("p") - F.col("off")).where("start >= 0")
         agreed = at.groupBy("key", "w", "len", "start").agg(F.count("*").alias("n"))
@@ -186,7 +182,7 @@ class Index:
     def matches(self) -> DataFrame:
         """(key, w, len, start) of exact matches."""
         begun = stored(self.started())
-        others = small(self.probes.where(F.col("rank") >= self.rarest).drop("rank", "len"), MAX_PROBES)
+        others = self.probes.where(F.col("rank") >= self.rarest).drop("rank", "len")
         left = begun.join(others, "w")
         held = left.join(self.postings, ["key", "term"]).where(F.expr("array_contains(positions, start + off)"))
         full = held.groupBy("key", "w", "len", "start").agg(F.count("*").alias("n"))
@@ -197,10 +193,10 @@ class Index:
         """(key, item_id, w, start, shift): the rarest anchor's start where every other anchor stands within
         `slop` words of its place, and the largest such shift."""
         anchors = self.probes.where(F.col("rank") < self.rarest)
-        first = self.postings.join(small(anchors.where("rank = 0"), MAX_PROBES), "term")
+        first = self.postings.join(anchors.where("rank = 0"), "term")
         starts = first.select("key", "w", "len", "off", F.explode("positions").alias("p"))
         starts = starts.select("key", "w", "len", (F.col("p") - F.col("off")).alias("start"))
-        rest = starts.join(small(anchors.where("rank > 0").drop("len", "rank"), MAX_PROBES), "w")
+        rest = starts.join(anchors.where("rank > 0").drop("len", "rank"), "w")
         near = rest.join(self.postings, ["key", "term"]).withColumn(
             "shift", F.array_min(F.expr("transform(positions, p -> abs(p - off - start))"))
         )
@@ -220,7 +216,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, rarest: i
     hit = spans.groupBy("key").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "before"))).alias("n_hit"))
     met = found.select("key", "w").distinct().join(index.named, "w")
     named = met.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
-    out = index.docs.join(hit.join(named, "key"), "key", "left")
+    # Stored, so that Spark knows its size: while that is small it is sent to all tasks, and copies of a text never meet.
+    out = index.docs.join(stored(hit.join(named, "key")), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
