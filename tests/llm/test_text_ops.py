@@ -193,6 +193,9 @@ def test_quality(spark):
     held = [(i, y) for i, _, y in good + bad if i % 3 == 1]
     assert sum((out[i].score >= 0.5) == y for i, y in held) / len(held) > 0.97
     assert len(out) == 303 and out[900].score == out[901].score and 0 <= out[900].score <= 1
+    odd = docs.limit(2).unionByName(docs.limit(1)).selectExpr("doc_id", "text", "'x' AS _text", "1 AS row", "2 AS score")
+    assert [(x._text, x.row) for x in quality.score(odd, weights, bias).collect()] == [("x", 1)] * 3
+    assert quality.score(odd.limit(0), weights, bias).count() == 0
     weights, bias = quality.train(docs, labels.limit(0))
     assert bias == 0 and not weights.any()
 
@@ -208,5 +211,10 @@ def test_language(spark):
     assert [(out[i].lang_pred, out[i].score) for i in (1000, 1001)] == [("und", 0.0)] * 2 and out[1002].lang_pred == "en"
     assert all(0 <= x.score <= 1 for x in out.values())
     assert language.prototypes(docs.limit(0)) == {} and language.identify(docs, {}).first().lang_pred == "und"
-    with pytest.raises(ValueError):
-        language.prototypes(docs.where("lang IS NOT NULL"), max_langs=1)
+    # Beyond the bound prototypes stay a table, with the same results; repeated rows, a very long text, extra columns.
+    more = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 0").withColumn("text", F.expr("repeat(concat(text, ' '), 20000)"))).withColumn("row", F.lit("x"))
+    as_table = language.prototypes(docs.where("doc_id < 100 AND lang IS NOT NULL"), max_langs=1)
+    key = lambda frame: sorted((x.doc_id, x.lang_pred, round(x.score, 4)) for x in frame.collect())
+    want = key(language.identify(more, learned))
+    assert len(want) == 207 and want == key(language.identify_in_blocks(more, as_table, block=1)) == key(language.identify(more, as_table))
+    assert language.identify(docs.limit(0), learned).count() == 0

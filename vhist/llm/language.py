@@ -9,7 +9,8 @@ cosine, not below 0. Ties go to the language that sorts first.
 Letters are those of str.isalpha(), lower-cased; anything else ends a word, and words are padded with one
 boundary on either side. Null texts and texts without a letter get `und` and score 0; so does everything
 where nothing could be learned. Rows are independent and repeated rows give repeated results; extra
-columns are left out. Languages are expected to be few (`max_langs`): prototypes go through the driver.
+columns are left out; an empty table gives no rows. Bytes that aren't UTF-8 are read as U+FFFD. Up to `max_langs` prototypes go to all tasks; where there are
+more they stay a table, and profiles meet them in blocks of so many.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, texts
+from .common import held_out, stored, strings, table
 
 DIM = 1024
 MAX_KNOWN = 60_000
+MAX_LANGS = 1000
+#: Rows whose profiles meet a block of languages in one task.
+SLICE = 10_000
 
 
 class Trigrams:
@@ -92,14 +97,15 @@ class Trigrams:
         return total
 
 
-def prototypes(docs: DataFrame, lang: Column | str = "lang", dim: int = DIM, max_langs: int = 1000) -> dict[str, np.ndarray]:
-    """Learn one vector a language from (text, lang): every task adds up its own rows, Spark adds these."""
+def prototypes(docs: DataFrame, lang: Column | str = "lang", dim: int = DIM, max_langs: int = MAX_LANGS) -> dict[str, np.ndarray] | DataFrame:
+    """Learn one vector a language from (text, lang): every task adds up its own rows, Spark adds these. A stored table (lang, v) where
+    there are more than ``max_langs``."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = Trigrams(dim), {}
         for batch in batches:
-            for name, raw in zip(batch.column(1).to_pylist(), texts(batch)):
-                if (v := grams.profile(raw.decode())) is not None and (norm := np.linalg.norm(v)) > 0:
+            for name, text in zip(batch.column(1).to_pylist(), strings(batch)):
+                if (v := grams.profile(text)) is not None and (norm := np.linalg.norm(v)) > 0:
                     sums[name] = sums.get(name, 0) + v.astype(np.float64) / norm
         names = sorted(sums)
         yield pa.RecordBatch.from_arrays(
@@ -109,23 +115,29 @@ def prototypes(docs: DataFrame, lang: Column | str = "lang", dim: int = DIM, max
     parts = docs.select("text", F.col(lang) if isinstance(lang, str) else lang).mapInArrow(add_up, "lang string, v array<double>")
     each = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     whole = each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    found = whole.select("lang", "v.x").limit(max_langs + 1).collect()
-    if len(found) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    return {name: np.array(x) for name, x in sorted(found)}
+    found = stored(whole.select("lang", F.col("v.x").alias("v")))
+    if found.count() > max_langs:
+        return found
+    return {name: np.array(x) for name, x in sorted(found.collect())}
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
+def unit_rows(vectors: list) -> np.ndarray:
+    return np.array([v / max(np.linalg.norm(v), 1e-12) for v in map(np.asarray, vectors)]).astype(np.float32)
+
+
+def identify(docs: DataFrame, learned: dict[str, np.ndarray] | DataFrame, dim: int = DIM) -> DataFrame:
     """doc_id, lang_pred, score for every row of (doc_id, text)."""
+    if isinstance(learned, DataFrame):
+        return identify_in_blocks(docs, learned, dim)
     names = sorted(learned)
-    matrix = np.array([learned[n] / max(np.linalg.norm(learned[n]), 1e-12) for n in names]).astype(np.float32)
+    matrix = unit_rows([learned[n] for n in names])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Trigrams(dim)
         for batch in batches:
             pred, score = [], []
-            for raw in texts(batch):
-                v = grams.profile(raw.decode()) if names else None
+            for text in strings(batch):
+                v = grams.profile(text) if names else None
                 norm = float(np.linalg.norm(v)) if v is not None else 0.0
                 if not norm:
                     pred.append("und")
@@ -143,6 +155,43 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], dim: int = DIM) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
+def identify_in_blocks(docs: DataFrame, learned: DataFrame, dim: int = DIM, block: int = MAX_LANGS) -> DataFrame:
+    """The same where prototypes are a table: each profile meets each block of languages in a task of that block and a slice of
+    the profiles, and Spark keeps the best."""
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()))
+    blocks = -(-learned.count() // block)
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Trigrams(dim)
+        for batch in batches:
+            found = [grams.profile(text) for text in strings(batch)]
+            found = [None if v is None or not np.linalg.norm(v) else v / np.linalg.norm(v) for v in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], ["row", "p"])
+
+    def best(key: tuple, langs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(langs) and len(own):
+            langs = langs.sort_values("lang")
+            matrix = unit_rows(list(langs["v"]))
+            for at in range(0, len(own), 1024):
+                cos = np.stack(list(own["p"][at : at + 1024])) @ matrix.T
+                top = cos.argmax(axis=1)
+                out += zip(own["row"][at : at + 1024], langs["lang"].to_numpy()[top], cos.max(axis=1).astype(float))
+        return pd.DataFrame(out, columns=["row", "lang", "cos"])
+
+    given = rows.select("row", "text").mapInArrow(profiles, "row long, p array<float>").where("p IS NOT NULL")
+    spread = given.withColumn("slice", F.floor(F.col("row") / SLICE)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = learned.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks)).cast("int"))
+    asked = spread.select(F.col("block").alias("b"), F.col("slice").alias("s")).distinct()
+    langs = placed.join(asked, F.col("block") == F.col("b")).select("b", "s", "lang", "v")
+    met = langs.groupBy("b", "s").cogroup(spread.groupBy("block", "slice")).applyInPandas(best, "row long, lang string, cos double")
+    met = stored(met)
+    top = met.groupBy("row").agg(F.max("cos").alias("cos"))
+    names = met.join(top, ["row", "cos"]).groupBy("row", "cos").agg(F.min("lang").alias("lang"))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("cos", F.lit(0.0))))
+    return rows.join(names, "row", "left").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = prototypes(docs.where(~held_out("doc_id") & F.col("lang").isNotNull()))

@@ -8,8 +8,9 @@ labelled sample (dealt by a hash of the id) with per-coordinate FTRL-proximal up
 are averaged. The sample is bounded by `max_rows` (the rows of smallest hash); everything is scored.
 
 Null and empty texts have no features and get the score of the bias. Without labelled rows every score is
-0.5. Rows are independent; repeated rows repeat their results; extra columns are left out. Labels other
-than 0 and 1, and null ones, are not learned from; an id with several labels is learned with each.
+0.5. Rows are independent; repeated rows repeat their results; `score` keeps extra columns, the query leaves them out. Labels other
+than 0 and 1, and null ones, are not learned from; an id with several labels is learned with each. Bytes that aren't UTF-8 are read
+as U+FFFD. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, texts
+from .common import held_out, strings, table
 
 BITS = 18
 MAX_ROWS = 20_000
@@ -113,24 +114,23 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """Adds `score` to every row of docs; all columns stay."""
+    """Adds `score` to every row of docs; all columns stay, but for one of that name."""
     bits = int(np.log2(len(weights)))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** bits numbers, whatever the input
-    width = len(docs.columns)
+    own = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit, w = Features(bits), shared.value
         for batch in batches:
             out = []
-            for raw in texts(batch, "_text"):
-                f = kit.of(raw.decode())
+            for text in strings(batch):
+                f = kit.of(text)
                 out.append(1 / (1 + np.exp(-np.clip(bias + (SCALE * w[f].mean() if len(f) else 0.0), -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, pa.float64())], [*batch.schema.names[:width], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row", "score"])
 
-    schema = docs.drop("score").schema if "score" in docs.columns else docs.schema
-    docs = docs.select(*schema.names)
-    width = len(schema.names)
-    return docs.withColumn("_text", F.col("text")).mapInArrow(run, type(schema)([*schema.fields]).add("score", "double"))
+    rows = docs.select(F.struct(*own).alias("row"), "text")
+    scored = rows.mapInArrow(run, type(docs.schema)([rows.schema["row"]]).add("score", "double"))
+    return scored.select(*[F.col("row")[c].alias(c) for c in own], "score")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
