@@ -222,6 +222,34 @@ def test_neighbours(spark):
     assert [i for i, _ in got[150]] == [100, 101, 102, 103, 104]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert neighbours.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+    # Repeated ids stand for their smallest vector, and one longer vector changes nothing.
+    more = spark.createDataFrame([(7, [-9.0] * 16, 0), (7, [8.0] * 16, 0), (5000, [1.0] * 17, 0), (5050, [2.0] * 17, 0)], df.schema)
+    again = neighbours.nearest(df.where("vec_id < 60").unionByName(more), F.col("vec_id").isin(7, 50, 5050)).collect()
+    assert sorted((x.query_id, x["rank"]) for x in again) == [(q, k) for q in (7, 50) for k in range(1, 6)] and len({(x.query_id, x.vec_id) for x in again}) == 10
+    q = np.full(16, -9.0) / 36
+    assert {x.vec_id for x in again if x.query_id == 7} == set(sorted((i for i in range(60) if i != 7), key=lambda i: -unit[i] @ q)[:5])
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_neighbours_recall(spark, monkeypatch, block):
+    """The query itself on the table at hand, and clustered vectors, where far fewer points have to be looked at."""
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()
+    out = neighbours.op2_neighbours(spark, "/root/testdata/sf0.001")
+    assert dict(out.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
+    got = {(x.query_id, x.vec_id) for x in out.collect()}
+    ids = np.array([x.vec_id for x in given])
+    m = np.array([x.embedding for x in given], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(int(ids[q]), int(ids[j])) for q in np.flatnonzero(ids % 50 == 0) for j in [i for i in np.argsort(-(m @ m[q])) if i != q][:5]}
+    assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(100, 24))
+    tight = np.array([centres[i % 100] + 0.05 * r.normal(size=24) for i in range(4000)])
+    tight /= np.linalg.norm(tight, axis=1, keepdims=True)
+    loose = r.normal(size=(4000, 24))
+    loose /= np.linalg.norm(loose, axis=1, keepdims=True)
+    assert neighbours.Forest(tight).effort(tight, 5) < 0.5 * neighbours.Forest(loose).effort(loose, 5)
 
 
 def test_warc(spark, tmp_path):

@@ -3,18 +3,20 @@
 Fitting. Vectors that are equal are gathered into one point that keeps its smallest ids, as many as a result can
 hold, so a vector that a third of all rows share is one point. The forest is fitted on a sample of at most
 `sample` points (those of smallest hash): each node splits its points at the median of their projection on the
-difference of two random ones, down to a `leaves`-th of the sample.
+difference of two random ones, down to leaves of about `BLOCK` points of the whole table (but a 50th of the sample at most, and 20 points of it
+at least). The search effort is measured on the sample too: for `MEASURED` of its points, how large a share of all points the leaves
+hold that have to be visited until their true neighbours are found. The effort is what finds `RECALL` of these.
 
 Indexing. Every point is routed to its leaf in every tree. Searching. A query's trees share one priority
 queue, ordered by the largest distance to a crossed split on the way; leaves are taken from it until they
-hold `effort` times as many points as there are (points found by several trees count each time). Queries meet their leaves' points in blocks of at most about
-`block` points, which gives the best of each block by cosine; these are reranked in double precision on the original
-vectors. Ties go to the smaller id.
-
-Vectors that are null, zero, of another length than the longest in the sample, or that hold null or non-finite numbers take
-no part. An empty table gives no rows; fewer candidates than k give fewer rows. A query's own row never counts, but
-other rows with its vector do. Ids are expected to be unique; rows with a null id take no part. Extra columns are
-left out.
+hold `effort` times as many points as there are (points found by several trees count each time). A leaf's points and its queries
+are dealt into blocks of at most about `BLOCK`, and each two blocks meet in one task, which gives the best of each query by
+cosine; these are reranked in double precision on the original vectors. Ties go to the smaller id.
+
+The dimension is the most frequent length of the usable vectors (of equally frequent ones the largest), counted over all rows. Vectors that
+are null, zero, of another length, or that hold null or non-finite numbers take no part. An id that several
+usable rows have stands for the smallest of their vectors. An empty table gives no rows; fewer candidates than k give fewer rows. A
+query's own row never counts, but other rows with its vector do. Rows with a null id take no part. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 TREES = 16
-#: Leaves of a tree: the sample is split until a leaf has this part of it or less.
+#: Of the smallest number of leaves of a tree, and the fewest points of the sample in a leaf.
 LEAVES = 50
+LEAST = 20
 SAMPLE = 20_000
-#: Points in the leaves that a query visits, copies over trees included, as a share of all points. Vectors without any
-#: structure (the hardest case) need about 0.8 for a recall of 0.9; clustered ones need far less.
-EFFORT = 1.4
+#: Points of the sample whose neighbours are looked up to set the effort, and the share of these that it has to find.
+MEASURED = 200
+RECALL = 0.97
 BLOCK = 4_096
 
 
@@ -87,10 +90,30 @@ class Forest:
             out[:, t] = at
         return out
 
-    def probes(self, point: np.ndarray, share: float) -> list[tuple[int, int]]:
+    def effort(self, points: np.ndarray, k: int) -> float:
+        """The share of all points that has to be looked at for `RECALL` of the k nearest, measured on the points given."""
+        asked = np.linspace(0, len(points) - 1, min(MEASURED, len(points))).astype(int)
+        leaf = self.route(points)
+        needed = []
+        for q in asked:
+            cos = points @ points[q]
+            cos[q] = -2
+            near = np.argsort(-cos, kind="stable")[: min(k, len(points) - 1)]
+            left = set(near.tolist())
+            held = 0.0
+            for t, n in self.probes(points[q], np.inf):
+                held += float(self.trees[t][4][n])
+                met = [i for i in left if leaf[i, t] == n]
+                needed += [held] * len(met)
+                left.difference_update(met)
+                if not left:
+                    break
+        return float(np.quantile(needed, RECALL)) if needed else 1.0
+
+    def probes(self, point: np.ndarray, share: float) -> Iterator[tuple[int, int]]:
         """(tree, leaf) in the order of the shared queue, until they hold this share of all points."""
         queue = [(-np.inf, t, 0) for t in range(len(self.trees))]
-        found, held = [], 0.0
+        held = 0.0
         while queue and held < share:
             margin, t, n = heapq.heappop(queue)
             normals, cuts, left, right, shares = self.trees[t]
@@ -99,9 +122,8 @@ class Forest:
                 near, far = (left[n], right[n]) if d < 0 else (right[n], left[n])
                 heapq.heappush(queue, (max(margin, abs(d)), t, int(far)))
                 n = int(near)
-            found.append((t, n))
+            yield t, n
             held += float(shares[n])
-        return found
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -111,7 +133,8 @@ def valid(rows: DataFrame) -> DataFrame:
         "vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
         " AND exists(v, x -> x <> 0)"
     )
-    return fine.withColumn("k", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")))
+    once = fine.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return once.withColumn("k", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")))
 
 
 def points_of(fine: DataFrame, keep: int) -> DataFrame:
@@ -122,17 +145,19 @@ def points_of(fine: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("k").agg(F.min("vec_id").alias("pid"), F.any_value("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, trees: int = TREES, leaves: int = LEAVES, sample: int = SAMPLE, effort: float = EFFORT) -> DataFrame:
+def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, trees: int = TREES, leaves: int = LEAVES, sample: int = SAMPLE, effort: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of (vec_id, embedding) that ``is_query`` (of vec_id) marks."""
-    fine = valid(rows)
+    fine = stored(valid(rows))
+    lengths = fine.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    dim, total = (lengths[0]["dim"], lengths[0]["n"]) if lengths else (0, 0)
+    fine = fine.where(F.size("v") == dim)
     points = stored(points_of(fine, k + 1))
-    # The sample is bounded, so it may come to the driver; so may the forest, of about 2 * leaves nodes a tree.
+    # The sample is bounded, so it may come to the driver; so may the forest, of at most 2 * sample / LEAST nodes a tree.
     drawn = points.orderBy(F.xxhash64("pid"), "pid").limit(sample).select("v").toPandas()["v"]
-    dim = max((len(x) for x in drawn), default=0)
-    points = points.where(F.size("v") == dim)
-    fit = [np.asarray(x) / np.linalg.norm(x) for x in drawn if len(x) == dim]
-    fit = np.array(fit).reshape(len(fit), dim)
-    forest = Forest(fit, trees, leaves)
+    fit = np.array([np.asarray(x) / np.linalg.norm(x) for x in drawn]).reshape(len(drawn), dim)
+    forest = Forest(fit, trees, max(leaves, min(total // BLOCK, len(fit) // LEAST)))
+    if effort is None:
+        effort = forest.effort(fit, k)
     # In small tables so much that no query runs short of points.
     effort = max(effort, trees * min(1.0, 8 * (k + 1) / max(1, len(fit))))
 
@@ -155,21 +180,24 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, trees: int = TREES,
         for b in batches:
             if not len(b):
                 continue
-            found = [forest.probes(q, effort) for q in unit(b.column(1))]
+            found = [list(forest.probes(q, effort)) for q in unit(b.column(1))]
             at = np.repeat(np.arange(len(b)), [len(f) for f in found])
             flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
             taken = [b.column(c).take(pa.array(at)) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), *taken], ["tree", "leaf", "qid", "q"])
 
     index = points.select("pid", "v").mapInArrow(place, "tree long, leaf long, pid long, v array<double>")
-    # Leaves are cut into blocks by a hash, so that no group grows with the data; queries go to each block.
+    # Leaves and their queries are cut into blocks by a hash, so that no group grows with the data.
     sizes = index.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     index = stored(index.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks"))))
-    blocks = index.select("tree", "leaf", "block").distinct()
     asking = fine.where(is_query).select(F.col("vec_id").alias("query_id"), "k").join(points.select("k", F.col("pid").alias("qid")), "k").drop("k")
     asked = points.select(F.col("pid").alias("qid"), F.col("v").alias("q")).join(asking.select("qid").distinct(), "qid", "left_semi")
-    probes = asked.mapInArrow(probe, "tree long, leaf long, qid long, q array<double>").join(blocks, ["tree", "leaf"])
-    probes = probes.select("qid", "q", *[F.col(c).alias(f"at_{c}") for c in ("tree", "leaf", "block")])
+    probes = stored(asked.mapInArrow(probe, "tree long, leaf long, qid long, q array<double>"))
+    parts_of = probes.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).join(sizes, ["tree", "leaf"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    index = index.join(parts_of.drop("blocks"), ["tree", "leaf"]).withColumn("part", every("parts"))
+    probes = probes.join(parts_of, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).withColumn("block", every("blocks"))
+    probes = probes.select("qid", "q", *[F.col(c).alias(f"at_{c}") for c in ("tree", "leaf", "block", "part")])
 
     def best(key: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asks):
@@ -192,7 +220,8 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, trees: int = TREES,
                     to.append(x)
         return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("qid", "pid", "score"), found)})
 
-    keys = ["tree", "leaf", "block"]
+    keys = ["tree", "leaf", "block", "part"]
+    index = index.select("pid", "v", *keys)
     parts = index.groupBy(*keys).cogroup(probes.groupBy(*[f"at_{c}" for c in keys])).applyInPandas(best, "qid long, pid long, score double")
     distinct = parts.groupBy("qid", "pid").agg(F.max("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))
