@@ -50,24 +50,50 @@ def near_texts():
     return rows
 
 
-@pytest.mark.parametrize("k, similar, block", [(4, 85, 2048), (5, 80, 3), (2, 60, 2048)])
+@pytest.mark.parametrize("k, similar, block", [(4, 85, 1 << 20), (5, 80, 50), (2, 60, 1 << 20)])
 def test_near_duplicates(spark, monkeypatch, k, similar, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rows = near_texts()
+    # Ids that repeat, with a text that others have, with one of their own, and with none.
+    rows += [(1000, rows[0][1]), (1000, rows[40][1]), (1001, "words of its own alone"), (1001, rows[30][1]), (1002, None), (1002, rows[50][1])]
     docs = spark.createDataFrame([(*x, "c") for x in rows] + [(None, "one two", "c"), (rows[0][0], rows[0][1], "c")], "doc_id long, text string, component_id string")
     out = near_dup.near_duplicates(docs, k, similar).collect()
-    sets = {}
+    sets = []
     for i, t in rows:
         ws = (t or "").encode().lower().split()
-        sets[i] = {tuple(ws[j : j + k]) for j in range(max(1, len(ws) - k + 1))} if ws else set()
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])]
-    want = group_of(links, sets)
+        sets.append((i, {tuple(ws[j : j + k]) for j in range(max(1, len(ws) - k + 1))} if ws else set()))
+    links = [(a, b) for n, (a, s) in enumerate(sets) for b, t in sets[:n] if a != b and s and 100 * len(s & t) >= similar * len(s | t)]
+    want = group_of(links, {i for i, _ in rows})
     assert len(links) > 20 and len(out) == len(rows) + 2
-    for x in out:
-        if x.doc_id is None:
-            assert x.component_id is None and x.n_shingles == 1
-        else:
-            assert (x.component_id, x.n_shingles) == (want[x.doc_id], len(sets[x.doc_id]))
+    left = sorted((i, len(s)) for i, s in [*sets, sets[0]])
+    assert left == sorted((x.doc_id, x.n_shingles) for x in out if x.doc_id is not None)
+    assert all(x.component_id == (None if x.doc_id is None else want[x.doc_id]) for x in out)
+    assert near_dup.near_duplicates(docs.limit(0), k, similar).count() == 0
+
+
+def test_large_family_of_long_texts(spark):
+    """5,000 near copies of a long text and some texts that share passages with them: one comparison a copy, in little memory."""
+    import resource
+
+    words = F.expr("transform(sequence(1, 1500), i -> concat('w', i))")
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("base"))
+    docs = docs.select("doc_id", F.concat("base", F.lit(" end"), F.col("doc_id").cast("string")).alias("text"))
+    other = spark.range(5000, 5020).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.slice(words, 1, 1100), " "), F.expr("array_join(transform(sequence(1, 400), i -> concat(' x', id, i)), '')")).alias("text"))
+    out = near_dup.near_duplicates(docs.unionByName(other), 4, 85)
+    assert out.where("doc_id < 5000 AND component_id = 0").count() == 5000 and out.where("component_id = doc_id").count() == 21
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss < 3_000_000
+
+
+def test_spanning_links_skip_components():
+    """Blocks of long near copies that are known to hang together cost nothing; links across are found once."""
+    r = np.random.default_rng(2)
+    base = [np.unique(r.integers(0, 2**63, 20_000).astype(np.uint64)) for _ in range(2)]
+    sets = [np.unique(np.concatenate([base[i % 2][n:], r.integers(0, 2**63, n).astype(np.uint64)])) for i, n in enumerate(range(1, 121))]
+    ids = np.arange(120)
+    links = list(near_dup.spanning_links(ids, sets, np.zeros(120, int), ids % 2, 85))
+    assert links == []
+    links = list(near_dup.spanning_links(ids, sets, np.zeros(120, int), ids, 85))
+    assert len(links) == 118 and all((a - b) % 2 == 0 for a, b in links)
 
 
 def test_partenum_shares_a_signature():

@@ -8,16 +8,18 @@ that linked sets differ by one shingle at most in more of them than `spare`, so
 without a shingle are left out where a set has no more than `spare` such partitions, which loses no link; sets with more
 of them are dealt again into larger parts, and the few that lack shingles there too combine these with a third dealing.
 
-Sets that share fewer signatures with others than any link takes are left out. The rest that share signatures, directly or
-over others, are a family. In a family all sets are compared exactly: in
-blocks of at most about `BLOCK` sets against each other, each giving no more links than make its parts hang together.
-Links give the components. Equal sets are one set from the start, represented by its smallest id; in each
-batch, sets with a common signature hand only the smallest id on, so a hot signature is added up
-before the shuffle. No cap on partners or candidates anywhere.
+Sets that share fewer signatures with others than any link takes are left out; sets are known by a digest there, so copies of a
+text are one set. Of the rest, each signature proposes a link from each of its sets to the smallest of them, its hub. Every set is compared
+exactly with the hub that it shares most signatures with. Where these links leave one component of all that proposed links join, nothing else
+can be linked. Where several are left, only sets that share as many signatures as a link takes with sets of other components can
+link them: these are compared exactly with each other, in blocks of at most about `BLOCK` shingles, and never within a component. So a
+family of copies takes one comparison a copy, however large it is; the work that grows with the square is that between different components that
+share signatures without being linked. Links give the components. In each batch, sets with a common signature hand only
+the smallest id on, so a hot signature is added up before the shuffle. No cap on partners or candidates anywhere.
 
 Null, empty and blank texts have no shingles and link with nothing; their component is their own id. A text with fewer
 words than `k` is one shingle, its whole sequence. Rows that repeat an id are one node that has the links of
-all; rows with a null id have no component and link with nothing. Extra columns are left out.
+all; rows with a null id have no component and link with nothing. Extra columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ from pyspark.sql import functions as F
 from .common import stored, table, texts
 from .components import components
 
-BLOCK = 2048
+#: Shingles of the sets in a block, and of those that one task compares with a hub, at most about.
+BLOCK = 1 << 20
 #: Shingles whose signatures are made at once.
 CHUNK = 1_000_000
-#: Of the filter that spares shuffling texts outside families: 1 MB.
-FILTER_BITS = 1 << 23
+#: The most bits of the filter that spares shuffling texts without candidates: 32 MB. A fuller one lets more texts through.
+FILTER_BITS = 1 << 28
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,8 +178,13 @@ def signatures_of(sets: list[np.ndarray], similar: int) -> tuple[np.ndarray, np.
     return np.concatenate([a, b]), np.concatenate([i, onward[j]]), np.repeat([0, 1], [len(a), len(b)]), shares
 
 
+def digest(s: np.ndarray) -> np.ndarray:
+    """128 bits that stand for a set."""
+    return np.array([mix(s).sum(dtype=np.uint64), mix(s ^ _C).sum(dtype=np.uint64)]).view(np.int64)
+
+
 def set_keys(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, x, y): size and 128-bit digest of each row's set."""
+    """(doc_id, n, x, y): size and digest of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit = Shingles(k)
@@ -184,8 +192,7 @@ def set_keys(docs: DataFrame, k: int) -> DataFrame:
             rows = np.zeros((3, len(batch)), np.int64)
             for i, raw in enumerate(texts(batch)):
                 s = kit.of(raw)
-                both = np.array([mix(s).sum(dtype=np.uint64), mix(s ^ _C).sum(dtype=np.uint64)]).view(np.int64)
-                rows[:, i] = len(s), both[0], both[1]
+                rows[:, i] = len(s), *digest(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r) for r in rows)], ["doc_id", "n", "x", "y"])
 
     return docs.mapInArrow(run, "doc_id long, n long, x long, y long")
@@ -204,12 +211,16 @@ def in_chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.nd
                 sets, first, held = [], at + 1, 0
 
 
-def candidate_ids(reps: DataFrame, k: int, similar: int) -> DataFrame:
-    """(doc_id) of the sets that share as many signatures with others as a link takes, from rows of (doc_id, text). Few others
-    have that many in common with anything, so most texts end here, also those that only share a passage."""
+def candidate_sets(docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """(x): the first halves of the digests of sets that share as many signatures with other sets as a link takes, from rows of
+    (doc_id, text). Few others have that many in common with anything, so most texts end here, also those that only share a passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in in_chunks(batches, k):
+        for _, sets in in_chunks(batches, k):
+            found = {int(digest(s)[0]): s for s in sets if len(s)}
+            xs, sets = np.array(list(found), np.int64), list(found.values())
+            if not sets:
+                continue
             sig, at, band, shares = signatures_of(sets, similar)
             order = np.argsort(sig, kind="stable")
             sig, at, band = sig[order], at[order], band[order]
@@ -217,54 +228,59 @@ def candidate_ids(reps: DataFrame, k: int, similar: int) -> DataFrame:
             size = np.diff(np.append(new, len(sig)))
             shared = np.repeat(size > 1, size)
             here = np.bincount(2 * at[shared] + band[shared], minlength=2 * len(sets)).reshape(-1, 2)
-            # A row of each signature: with its set's id and band, or with neither where several of these sets have it, which is
+            # A row of each signature: with its set and band, or with neither where several of these sets have it, which is
             # counted here. A row of each set and band: what it shares here less what it needs, marked by the second last bit.
             who, which = np.nonzero(shares)
             balance = 4 * (here - shares)[who, which] + 2 + which
-            own = mix(ids[who].astype(np.uint64) * np.uint64(2) + which.astype(np.uint64) + np.uint64(1))
-            doc, mark = np.concatenate([ids[at[new]], ids[who]]), np.concatenate([band[new], balance]).astype(np.int32)
+            own = mix(xs[who].view(np.uint64) * np.uint64(2) + which.astype(np.uint64) + np.uint64(1))
+            doc, mark = np.concatenate([xs[at[new]], xs[who]]), np.concatenate([band[new], balance]).astype(np.int32)
             none = np.concatenate([size > 1, np.zeros(len(who), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[new], own]).view(np.int64)), pa.array(doc, mask=none), pa.array(mark)], ["sig", "doc_id", "mark"])
-
-    rows = reps.mapInArrow(run, "sig long, doc_id long, mark int")
-    # One row for each signature and chunk: even the hottest signature has no more rows than there are chunks.
-    found = rows.withColumn("held", F.count("*").over(Window.partitionBy("sig")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[new], own]).view(np.int64)), pa.array(doc, mask=none), pa.array(mark)], ["sig", "x", "mark"])
+
+    rows = docs.mapInArrow(run, "sig long, x long, mark int")
+    # One row for each signature and chunk: even the hottest signature has no more rows than there are chunks. A set that stands in
+    # several chunks has its balance in each, and all of these have one sign.
+    w = Window.partitionBy("sig")
+    others = (F.min("x").over(w) != F.max("x").over(w)) | (F.count("*").over(w) > F.count("x").over(w))
+    found = rows.withColumn("others", others)
     plain = F.col("mark").bitwiseAND(2) == 0
-    worth = F.when(plain, (F.col("held") > 1).cast("long")).otherwise(F.shiftright("mark", 2).cast("long"))
-    total = found.withColumn("worth", worth).where("doc_id IS NOT NULL AND (worth <> 0 OR (mark & 2) <> 0)").groupBy("doc_id", F.col("mark").bitwiseAND(1).alias("band")).agg(F.sum("worth").alias("balance"))
-    return total.where("balance >= 0").select("doc_id").distinct()
+    worth = F.when(plain, F.coalesce("others", F.lit(False)).cast("long")).otherwise(F.shiftright("mark", 2).cast("long"))
+    total = found.withColumn("worth", worth).where("x IS NOT NULL AND (worth <> 0 OR (mark & 2) <> 0)").groupBy("x", F.col("mark").bitwiseAND(1).alias("band")).agg(F.sum("worth").alias("balance"))
+    return total.where("balance >= 0").select("x").distinct()
 
 
-def candidate_links(reps: DataFrame, k: int, similar: int) -> DataFrame:
-    """(a, b): links that join all sets with a common signature, from rows of (doc_id, text)."""
+def star_pairs(own: DataFrame, k: int, similar: int) -> DataFrame:
+    """(a, b, n): proposed links that join all sets with a common signature, and how many signatures propose each, from rows of
+    (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
             sig, at, _, _ = signatures_of(sets, similar)
             order = np.lexsort((ids[at], sig))
             sig, doc = sig[order], ids[at][order]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
+            new = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
             hub = doc[new][np.cumsum(new) - 1]
             # Among these sets a link to the smallest id stands for the signature; only that id goes on with it.
-            pairs = np.unique(np.stack([hub[~new], doc[~new]]), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
+            pairs, n = np.unique(np.stack([hub[~new], doc[~new]]), axis=1, return_counts=True)
+            n, pairs = n[pairs[0] != pairs[1]], pairs[:, pairs[0] != pairs[1]]
             # The two ids of a link travel as a signature of their own.
-            own = mix(np.arange(pairs.shape[1], dtype=np.uint64) ^ (mix(pairs[1].astype(np.uint64)) + np.uint64(1)))
-            columns = np.concatenate([sig[new], own, own]).view(np.int64), np.concatenate([doc[new], pairs[0], pairs[1]])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "b"])
+            mark = mix(np.arange(pairs.shape[1], dtype=np.uint64) ^ (mix(pairs[1].astype(np.uint64)) + np.uint64(1)))
+            columns = np.concatenate([sig[new], mark, mark]).view(np.int64), np.concatenate([doc[new], pairs[0], pairs[1]]), np.concatenate([np.ones(new.sum(), np.int64), n, n])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "b", "n"])
 
         for ids, sets in in_chunks(batches, k):
             yield links(ids, sets)
 
-    rows = reps.mapInArrow(run, "sig long, b long")
+    rows = own.select("doc_id", "text").mapInArrow(run, "sig long, b long, n long")
     # One row for each signature and batch: even the hottest signature has no more rows than there are batches.
     hub = F.min("b").over(Window.partitionBy("sig"))
-    return rows.withColumn("a", hub).where("a <> b").select("a", "b").distinct()
+    return rows.withColumn("a", hub).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def filtered(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of (doc_id, text) whose doc_id may be among ``ids``: a Bloom filter of fixed size, so that most of the other
+def filtered(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of (doc_id, text) whose doc_id may be among ``ids``: a Bloom filter sized by their number, so that most of the other
     texts are never shuffled. An exact join has to follow."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     set_bits = F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {bits}) % 64 AS INT))"))
     words = ids.groupBy(F.floor(at / 64).alias("word")).agg(set_bits.alias("set")).toArrow()  # bits / 64 rows at most
@@ -279,68 +295,116 @@ def filtered(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFr
     return rows.withColumn("_bit", at).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, text string")
 
 
-def spanning_links(ids: np.ndarray, sets: list[np.ndarray], cross: np.ndarray, similar: int) -> Iterator[tuple[int, int]]:
-    """Links between sets, found by exact counts; no more than make linked sets hang together. ``cross``: 0 and 1
-    for two blocks that are to be compared with each other, or one value for a block with itself."""
-    up = np.arange(len(ids))
+def linked(a: np.ndarray, b: np.ndarray, similar: int) -> bool:
+    if 100 * min(len(a), len(b)) < similar * max(len(a), len(b)):
+        return False
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= similar * (len(a) + len(b) - common)
 
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
 
+def links_to_hubs(own: DataFrame, best: DataFrame, k: int, similar: int) -> DataFrame:
+    """(a, b): which sets link with their hub, from rows of (doc_id, text, n) and (a, b). A task has a hub and some of its sets, which pass
+    one by one; a hub with many is in as many tasks as these fill."""
+    sizes = own.groupBy("doc_id").agg(F.max("n").alias("n"))
+    tasks = best.join(sizes, F.col("b") == F.col("doc_id")).groupBy("a").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("tasks"))
+    tasks = stored(tasks)
+    members = own.join(best.join(tasks, "a"), F.col("doc_id") == F.col("b")).select("a", F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("p"), F.lit(1).alias("side"), "doc_id", "text")
+    hubs = own.join(tasks, F.col("doc_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("p"), F.lit(0).alias("side"), "doc_id", "text")
+    rows = hubs.unionByName(members).repartition("a", "p").sortWithinPartitions("a", "p", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kit, now, hub = Shingles(k), None, []
+        for batch in batches:
+            found = []
+            for a, p, side, doc, raw in zip(*[batch.column(c).to_pylist() for c in range(4)], texts(batch)):
+                if (a, p) != now:
+                    now, hub = (a, p), []
+                s = kit.of(raw)
+                if not side:
+                    hub.append(s)
+                elif any(linked(h, s, similar) for h in hub):
+                    found.append((a, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def contested(own: DataFrame, k: int, similar: int) -> DataFrame:
+    """(doc_id): the sets that share as many signatures as a link takes with sets of other components, from (doc_id, text, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kit = Shingles(k)
+        for batch in batches:
+            sets = [kit.of(raw) for raw in texts(batch)]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            sig, at, band, shares = signatures_of([sets[i] for i in some], similar)
+            rows = pa.array(np.array(some, np.int64)[at])
+            columns = [batch.column(c).take(rows) for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *columns, pa.array(band), pa.array(shares[at, band])], ["sig", "doc_id", "c", "band", "need"])
+
+    rows = stored(own.select("doc_id", "text", "c").mapInArrow(run, "sig long, doc_id long, c long, band long, need long"))
+    open_ = stored(rows.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("sig"))
+    met = rows.join(open_, "sig").groupBy("doc_id", "band").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    return met.where("n >= need").select("doc_id").distinct()
+
+
+def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, component: np.ndarray, similar: int) -> Iterator[tuple[int, int]]:
+    """Links between sets of different components, found by exact counts; no more than make linked components hang together. ``side``:
+    0 and 1 for two blocks that are to be compared with each other, or one value for a block with itself."""
+    _, label, held = np.unique(component, return_inverse=True, return_counts=True)
     sizes = np.array([len(s) for s in sets])
     features, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(features, kind="stable")
     features, owner = features[order], owner[order]
-    alone = len(np.unique(cross)) == 1
-    for i, s in enumerate(sets):
-        if not alone and cross[i]:
+    alone = len(np.unique(side)) == 1
+    left = np.ones(len(sets), bool)
+    # Sets of small components ask first; what is asked needn't ask, so a large component never meets itself.
+    for i in np.argsort(held[label], kind="stable"):
+        left[i] = False
+        open_ = left & (label != label[i]) & (alone | (side != side[i])) & (100 * np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i]))
+        if not open_.any():
             continue
+        s = sets[i]
         lo, hi = np.searchsorted(features, s, "left"), np.searchsorted(features, s, "right")
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(owner[at], minlength=len(sets))
-        fits = 100 * common >= similar * (sizes + len(s) - common)
-        fits[: i + 1] &= not alone
-        if not alone:
-            fits &= cross == 1
-        for j in np.flatnonzero(fits):
-            a, b = root(i), root(int(j))
-            if a != b:
-                up[a] = b
+        for j in np.flatnonzero(open_ & (100 * common >= similar * (sizes + len(s) - common))):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
                 yield int(ids[i]), int(ids[j])
 
 
-def links_in_families(rows: DataFrame, k: int, similar: int) -> DataFrame:
-    """(a, b) from rows of (doc_id, text, family, size): exact links that span each family's components."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = rows.withColumn("own", own).withColumn("other", other)
+def links_in_blocks(rows: DataFrame, k: int, similar: int) -> DataFrame:
+    """(a, b) from rows of (doc_id, text, n, c, family): exact links that join the components c of each family."""
+    sizes = rows.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    spread = rows.join(sizes, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["family", "p", "q"]
-    spread = spread.select("doc_id", "text", "family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    spread = spread.select("doc_id", "text", "c", "family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     spread = spread.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit = Shingles(k)
-        now, ids, sets, side = None, [], [], []
+        now, ids, sets, side, comp = None, [], [], [], []
 
         def out() -> pa.RecordBatch:
-            found = list(spanning_links(np.array(ids), sets, np.array(side), similar)) if len(ids) > 1 and (now[1] == now[2] or 0 < sum(side) < len(side)) else []
+            found = list(spanning_links(np.array(ids), sets, np.array(side), np.array(comp), similar)) if len(ids) > 1 and (now[1] == now[2] or 0 < sum(side) < len(side)) else []
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)]
-            for doc, raw, *key, s in zip(columns[0], texts(batch), *columns[1:]):
+            columns = [batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6)]
+            for doc, c, *key, s, raw in zip(*columns, texts(batch)):
                 if key != now:
                     if ids:
                         yield out()
-                    now, ids, sets, side = key, [], [], []
+                    now, ids, sets, side, comp = key, [], [], [], []
                 ids.append(doc)
                 sets.append(kit.of(raw))
                 side.append(s)
+                comp.append(c)
         if ids:
             yield out()
 
@@ -351,23 +415,37 @@ def near_duplicates(docs: DataFrame, k: int, similar: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = stored(set_keys(rows, k))
-    reps = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"))
-    reps = stored(reps)
-    own = rows.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # Ids that repeat stand for several sets, which aren't told apart there, and stay.
-    again = keys.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    near = stored(candidate_ids(own, k, similar).unionByName(again).distinct())
-    own = stored(filtered(rows, near).join(near, "doc_id", "left_semi"))
-    family = components(candidate_links(own, k, similar))
-    sizes = family.groupBy("component").agg(F.count("*").alias("size"))
-    family = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
-    family = stored(family)
-    links = links_in_families(own.join(family, "doc_id").select("doc_id", "text", "family", "size"), k, similar)
-    # Ids with equal sets are linked too; of these only ids that stand for several sets matter to others.
-    found = components(links).select(F.col("node").alias("rep"), F.col("component"))
-    named = reps.join(found, "rep", "left").select("n", "x", "y", F.coalesce("component", "rep").alias("c"))
-    out = keys.join(named, ["n", "x", "y"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
+    reps = stored(keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep")))
+    # Ids that stand for several sets aren't told apart here, so all of their rows come along.
+    near = reps.join(candidate_sets(rows.where("doc_id IS NOT NULL"), k, similar), "x", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
+    near = stored(near)
+    own = stored(filtered(rows, near).join(near, "doc_id"))
+    pairs = stored(star_pairs(own, k, similar))
+    best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")))
+    first = stored(components(links_to_hubs(own, best, k, similar)))
+    # Proposed links between different components, each standing for all of its sets.
+    at = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    to = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = pairs.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    family = stored(components(between)).select(F.col("node").alias("c"), F.col("component").alias("family"))
+    named = own.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    left = stored(named.join(family, "c"))
+    more = left.join(stored(contested(left, k, similar)), "doc_id", "left_semi")
+    # Ids that repeat join all the sets that they stand for.
+    filled = keys.where("doc_id IS NOT NULL")
+    again = stored(filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    several = filled.join(again, "doc_id", "left_semi").join(reps, ["n", "x", "y"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    # Both kinds of links as links between the components so far, each named by its smallest id.
+    ends = stored(links_in_blocks(more, k, similar).unionByName(several)).join(at, "a", "left").join(to, "b", "left")
+    last = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    last = stored(last).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    nodes = near.select("doc_id").unionByName(several.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
+    nodes = nodes.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    found = stored(nodes.join(last, "component", "left").select(F.col("doc_id").alias("rep"), F.coalesce("final", "component").alias("c")))
+    named = stored(reps.join(found, "rep", "left").select("n", "x", "y", F.coalesce("c", "rep").alias("c")))
+    repeated = stored(again.join(found, F.col("doc_id") == F.col("rep")).select("doc_id", F.col("c").alias("own")))
+    out = keys.join(named, ["n", "x", "y"], "left").join(repeated, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "c", "doc_id")).alias("component_id"))
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
