@@ -33,6 +33,7 @@ def test_components(spark):
     want = group_of(links, {n for p in links if p[0] != p[1] for n in p})
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([(1, None), (None, 2), (3, 3)], "a long, b long")).count() == 0
 
 
 def near_texts():

@@ -13,12 +13,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round shrinks the edges: a node's larger neighbours are linked to its smallest neighbour (large
     star), then its smaller ones (small star). The minimum is taken by a group aggregate and joined
-    back, so no node's neighbours are gathered, however many. Ends when all edges form stars."""
+    back, so no node's neighbours are gathered, however many; as the minima are a stored table, Spark sends them to all tasks while
+    they are small, and can split a hub's edges beyond. Ends when all edges form stars. Edges with a null end join nothing."""
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while True:
         # Large star, seen from both ends: neighbours above a node go to its smallest neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its neighbours below go to the smallest of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
