@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns
 tokens' counts and digests. `run` writes each stage's result as Parquet before the next one reads it.
 
 Ids are compared null-safely: rows without an id are one document to the stages that drop by id. Empty tables give empty
-results. Rows that repeat an id and text are one document from the near-duplicate stage on.
+results. Rows that repeat an id and text are one document from the near-duplicate stage on. Extra columns of the documents go through
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,32 +17,40 @@ from vhist.llm import bpe, decontaminate, line_dedup, near_dup, quality
 from vhist.llm.common import held_out, stored, table
 
 
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The documents whose ids are (left_semi) or aren't (left_anti) in ``ids``. Their columns travel as one, so that none clashes."""
+    rows = docs.select(F.col("doc_id").alias("left_id"), F.struct(*docs.columns).alias("row"))
+    named = ids.select(F.col("doc_id").alias("right_id")).distinct()
+    return rows.join(named, F.col("left_id").eqNullSafe(F.col("right_id")), how).select("row.*")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. Labels of the held-out fold aren't used."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
     weights, bias = quality.train(docs, labels)
-    return quality.score(docs, weights, bias).where("score >= 0.5").drop("score")
+    # All columns travel as one, so that none clashes with a result's.
+    scored = quality.score(docs.select("text", F.struct(*docs.columns).alias("row")), weights, bias)
+    return scored.where("score >= 0.5").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs. A document that was nothing but later copies goes."""
-    out = line_dedup.dedup_lines(docs).where("n_deleted < n_lines OR n_lines = 0")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))).where("n_deleted < n_lines OR n_lines = 0")
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) if c != "text" else made[c] for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group that near-duplicate links join: five words, similarity 0.8."""
     found = near_dup.near_duplicates(docs, k=5, similar=80)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return by_id(docs, stay, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return by_id(docs, found.where("contaminated"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
