@@ -37,10 +37,13 @@ def keys() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("h")]
 
 
+def line_count(text: F.Column) -> F.Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(d, h, i, n, a, b, size): a row for each line, with its document's number of lines and the line's hash and size."""
-    lines = F.split("text", "\n", -1)
-    each = docs.where("text IS NOT NULL").select(*keys(), F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line"))
+    each = docs.where("text IS NOT NULL").select(*keys(), line_count(F.col("text")).alias("n"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return each.select("d", "h", "i", "n", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").alias("size"))
 
 
@@ -113,7 +116,7 @@ def dedup_lines(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), *keys()).join(repeats(docs, chars), ["d", "h"], "left")
     text = F.col("row")["text"]
     lines = F.split(text, "\n", -1)
-    n = F.coalesce(F.when(text.isNotNull(), F.size(lines)), F.lit(0))
+    n = F.coalesce(line_count(text), F.lit(0))
     gone = F.coalesce(F.size("deleted"), F.lit(0))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("deleted")), lambda i: F.get(lines, i))
     left = F.when(gone == 0, text).when(gone == n, F.lit("")).otherwise(F.array_join(kept, "\n")).alias("text")
