@@ -5,9 +5,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from vhist.functions.textdiff import edit_script, lines_of, spans
 from vhist.operators import blame, graph, history, refs, search, shortlog
+from vhist.plans.materialize import materialized
 from vhist.queries import QUERIES
 from vhist.streaming import ingest
 
@@ -63,11 +65,12 @@ def test_ranges_and_bases(spark, dag):
     assert {x.pair: x.yes for x in graph.is_ancestor(pairs.selectExpr("pair", "b as a", "a as b"), edges).collect()} == {1: 158 in ancestors(parents, [159]), 2: 4 in ancestors(parents, [7])}
 
 
-def test_walk(spark, dag):
-    parents, time, edges, commits = dag
-    start = roots_of(spark, [(1, 159)])
-    got = [x.node for x in graph.walk(graph.closure(start, edges), start, edges, commits).orderBy("pos").collect()]
-    heap, seen, want = [(-time[159].timestamp(), 1, 159)], {159}, []
+def plain_walk(parents, time, starts):
+    heap, seen, want = [], set(), []
+    for n in starts:
+        if n not in seen:
+            seen.add(n)
+            heapq.heappush(heap, (-time[n].timestamp(), len(seen), n))
     while heap:
         n = heapq.heappop(heap)[2]
         want.append(n)
@@ -75,8 +78,72 @@ def test_walk(spark, dag):
             if p not in seen:
                 seen.add(p)
                 heapq.heappush(heap, (-time[p].timestamp(), len(seen), p))
-    assert got == want
-    assert graph.heap_needed(graph.closure(start, edges), edges, commits).first().exact
+    return want
+
+
+def test_walk(spark, dag):
+    parents, time, edges, commits = dag
+    start = roots_of(spark, [(1, 159), (2, 60)])
+    found = graph.closure(start, edges)
+    got = [(x.root, x.node) for x in graph.walk(found, start, edges, commits).orderBy("root", "pos").collect()]
+    assert got == [(1, n) for n in plain_walk(parents, time, [159])] + [(2, n) for n in plain_walk(parents, time, [60])]
+    assert graph.heap_needed(found, edges, commits).first().exact
+    got = [x.node for x in graph.walk(found, start, edges, commits, limit=20).where("root = 1").orderBy("pos").collect()]
+    assert got == plain_walk(parents, time, [159])[:20]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_walk_with_few_times(spark, seed):
+    """Many equal times, several starts in a given order, skew, random merges."""
+    r = random.Random(seed)
+    parents = {i: r.sample(range(max(0, i - 8), i), min(i, r.choice([1, 1, 2, 3]))) for i in range(60)}
+    time = {i: START + timedelta(seconds=(i // r.choice([3, 5])) - r.choice([0, 0, 0, 6])) for i in parents}
+    edges = spark.createDataFrame([(c, k, p) for c, ps in parents.items() for k, p in enumerate(ps)], "child long, ord int, parent long")
+    commits = spark.createDataFrame([(i, time[i]) for i in parents], "id long, time timestamp_ntz")
+    given = r.sample(range(40, 60), 5)
+    start = spark.createDataFrame([(1, n, k) for k, n in enumerate(given)], "root long, node long, k int")
+    got = [x.node for x in graph.walk(graph.closure(start, edges), start, edges, commits).orderBy("pos").collect()]
+    assert got == plain_walk(parents, time, given)
+
+
+def test_random_graphs(spark):
+    """Closures, ranges, bases and membership on graphs with many chains, nodes without edges, and unrelated roots."""
+    for seed in range(1):
+        r = random.Random(seed)
+        parents = {i: r.sample(range(max(0, i - 12), i), min(i, r.choice([0, 1, 1, 1, 2, 3]))) for i in range(80)}
+        edges = spark.createDataFrame([(c, k, p) for c, ps in parents.items() for k, p in enumerate(ps)], "child long, ord int, parent long")
+        commits = spark.createDataFrame([(i, f"{i:040x}", i) for i in parents], "id long, oid string, time long")
+        asked = [(k, r.randrange(80)) for k in range(8)] + [(0, 79), (9, 1000)]
+        for first in (False, True):
+            got = sorted((x.root, x.node) for x in graph.closure(roots_of(spark, asked), edges, first).collect())
+            assert got == sorted((k, n) for k in {q for q, _ in asked} for n in ancestors({**parents, 1000: []}, [m for q, m in asked if q == k], first))
+        less = [(k, r.randrange(60)) for k in range(0, 8, 2)]
+        for first in (False, True):
+            got = sorted((x.root, x.node) for x in graph.ranges(roots_of(spark, asked[:8]), roots_of(spark, less), edges, first).collect())
+            assert got == sorted((k, n) for k, m in asked[:8] for n in ancestors(parents, [m], first) - ancestors(parents, [b for q, b in less if q == k]))
+        pairs = [(k, r.randrange(80), r.randrange(80)) for k in range(20)]
+        frame = spark.createDataFrame(pairs, "pair long, a long, b long")
+        got = sorted((x.pair, x.node) for x in graph.merge_bases(frame, edges, commits).collect())
+        want = []
+        for k, a, b in pairs:
+            common = ancestors(parents, [a]) & ancestors(parents, [b])
+            want += [(k, n) for n in common - {p for n in common for p in parents[n]}]
+        assert got == sorted(want)
+        assert sorted((x.pair, x.yes) for x in graph.is_ancestor(frame, edges).collect()) == [(k, a in ancestors(parents, [b])) for k, a, b in pairs]
+
+
+def test_long_chain(spark, monkeypatch):
+    """100,000 commits in a row with merges: rounds grow with the logarithm of the depth."""
+    calls = []
+    monkeypatch.setattr(graph, "materialized", lambda df: calls.append(1) or materialized(df))
+    n = 100_000
+    line = spark.range(1, n).select(F.col("id").alias("child"), F.lit(0).alias("ord"), (F.col("id") - 1).alias("parent"))
+    side = spark.range(5, n, 1000).select(F.col("id").alias("child"), F.lit(1).alias("ord"), (F.col("id") - 4).alias("parent"))
+    edges = line.unionByName(side)
+    got = {x.root: x["count"] for x in graph.closure(roots_of(spark, [(1, n - 1), (2, 7)]), edges).groupBy("root").count().collect()}
+    assert got == {1: n, 2: 8} and len(calls) < 40
+    pair = spark.createDataFrame([(1, n - 1, 500)], "pair long, a long, b long")
+    assert not graph.is_ancestor(pair, edges).first().yes
 
 
 def test_nth(spark, dag):

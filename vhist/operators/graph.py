@@ -1,73 +1,123 @@
 """Reachability over parent edges: closures, ranges, merge bases, chains, walk order.
 
 Edges are (child, ord, parent); a question is a set of (root, node) rows, so that one plan answers it for any number of
-roots at once. Closures join the frontier with edges that span a few levels and drop what was seen by an anti join;
-nothing is collected, and every round is cut by a stored table.
+roots at once. Nodes are laid on chains: each parent goes on with one of the children whose first parent it is. What a root reaches
+of a chain is all up to some height, so reachability is a few (root, chain, height) rows: chains are labelled by pointer doubling in
+rounds logarithmic in the depth, and the closure takes a round for each change of chains on the way, not for each
+commit. Ranges and common ancestors are compared as heights; only the answer becomes (root, node) rows. Nothing is collected,
+and every round is cut by a stored table.
 """
 
 from __future__ import annotations
 
 import heapq
-from functools import reduce
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vhist.plans.materialize import materialized
 
-#: Levels that one round walks: more make fewer rounds and as many times more edges.
-LEVELS = 8
 
-
-def long_edges(step: DataFrame, levels: int) -> DataFrame:
-    """(node, parent) for all ancestors up to ``levels`` steps away (a power of two), by joining the edges with themselves."""
-    out, reach = step, 1
-    while reach < levels:
-        far = out.join(out.select(F.col("node").alias("parent"), F.col("parent").alias("far")), "parent").select("node", F.col("far").alias("parent"))
-        out, reach = out.unionByName(far).distinct(), 2 * reach
-    return materialized(out)
-
-
-def closure(roots: DataFrame, edges: DataFrame, first_parent: bool = False, levels: int = LEVELS) -> DataFrame:
-    """(root, node): each root's start nodes and all their ancestors. The rounds are the graph's depth over ``levels``."""
-    step = edges.where("ord = 0") if first_parent else edges
-    step = long_edges(step.select(F.col("child").alias("node"), "parent"), levels)
-    new = materialized(roots.select("root", "node").distinct())
-    pieces = [new]
-    while True:
-        reached = new.join(step, "node").select("root", F.col("parent").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, pieces)
-        new = materialized(reached.join(seen, ["root", "node"], "left_anti"))
-        if new.isEmpty():
-            return seen
-        pieces.append(new)
+def doubled(jump: DataFrame) -> DataFrame:
+    """(node, to, n, done) moved on to where `to` points, unless done."""
+    far = jump.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("n").alias("m"), F.col("done").alias("far_done"))
+    moved = jump.where("NOT done").join(far, "to").select("node", F.col("far").alias("to"), (F.col("n") + F.col("m")).alias("n"), F.col("far_done").alias("done"))
+    return jump.where("done").unionByName(moved)
+
+
+class Reach:
+    """The chains of a graph. ``edges`` may be any selection of parent edges; nodes that no edge names are chains of their own."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = materialized(edges.select("child", "ord", "parent"))
+
+    @cached_property
+    def chains(self) -> DataFrame:
+        """(node, chain, h): the chain, named by its oldest node, and the height on it from 0, of all nodes that edges name."""
+        down = self.edges.groupBy("child").agg(F.min_by("parent", "ord").alias("parent"))
+        up = down.groupBy("parent").agg(F.min("child").alias("node"))
+        nodes = self.edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+        now = nodes.join(up, "node", "left").select("node", F.coalesce("parent", "node").alias("to"), F.col("parent").isNotNull().cast("long").alias("n"), F.col("parent").isNull().alias("done"))
+        now = materialized(now)
+        while not now.where("NOT done").isEmpty():
+            now = materialized(doubled(doubled(now)))
+        return now.select("node", F.col("to").alias("chain"), F.col("n").alias("h"))
+
+    @cached_property
+    def crossings(self) -> DataFrame:
+        """(chain, h, to, to_h): the edges that leave a chain."""
+        at = self.chains
+        both = self.edges.join(at.withColumnsRenamed({"node": "child"}), "child").join(at.select(F.col("node").alias("parent"), F.col("chain").alias("to"), F.col("h").alias("to_h")), "parent")
+        return materialized(both.where("chain <> to").select("chain", "h", "to", "to_h", "parent"))
+
+    def place(self, rows: DataFrame, node: str = "node") -> DataFrame:
+        """Adds chain and h to rows; nodes without edges are chains of their own."""
+        at = self.chains.select(F.col("node").alias(node), F.col("chain").alias("c"), F.col("h").alias("k"))
+        return rows.join(at, node, "left").withColumns({"chain": F.coalesce("c", node), "h": F.coalesce("k", F.lit(0).cast("long"))}).drop("c", "k")
+
+    def heights(self, starts: DataFrame) -> DataFrame:
+        """(root, chain, h): up to which height each root reaches each chain."""
+        top = lambda rows: rows.groupBy("root", "chain").agg(F.max("h").alias("h"))
+        new = all_ = materialized(top(self.place(starts.select("root", "node").distinct())))
+        while True:
+            over = new.withColumnRenamed("h", "top").join(self.crossings, "chain").where("h <= top").select("root", F.col("to").alias("chain"), F.col("to_h").alias("h"))
+            known = all_.withColumnRenamed("h", "known")
+            new = materialized(top(over).join(known, ["root", "chain"], "left").where("known IS NULL OR h > known").select("root", "chain", "h"))
+            if new.isEmpty():
+                return all_
+            all_ = materialized(top(all_.unionByName(new)))
+
+    def nodes(self, heights: DataFrame) -> DataFrame:
+        """(root, node) of rows (root, chain, h) and, if there is a column `over`, above that height only."""
+        lone = heights.join(self.chains.select("chain").distinct(), "chain", "left_anti").select("root", F.col("chain").alias("node"))
+        above = F.col("k") > F.col("over") if "over" in heights.columns else F.lit(True)
+        met = heights.join(self.chains.select("chain", "node", F.col("h").alias("k")), "chain").where((F.col("k") <= F.col("h")) & above)
+        return met.select("root", "node").unionByName(lone)
+
+
+def closure(roots: DataFrame, edges: DataFrame, first_parent: bool = False, reach: Reach | None = None) -> DataFrame:
+    """(root, node): each root's start nodes and all their ancestors."""
+    reach = reach or Reach(edges.where("ord = 0") if first_parent else edges)
+    return reach.nodes(reach.heights(roots))
 
 
 def ranges(include: DataFrame, exclude: DataFrame, edges: DataFrame, first_parent: bool = False) -> DataFrame:
     """`^exclude include`: what include reaches and exclude doesn't. Exclusions always use all parents."""
-    return closure(include, edges, first_parent).join(closure(exclude, edges), ["root", "node"], "left_anti")
+    reach = Reach(edges)
+    out = reach.heights(exclude)
+    if first_parent:
+        found = closure(include, edges, True)
+        gone = reach.place(found).join(out.withColumnRenamed("h", "over"), ["root", "chain"], "left")
+        return gone.where("over IS NULL OR h > over").select("root", "node")
+    left = reach.heights(include).join(out.withColumnRenamed("h", "over"), ["root", "chain"], "left").where("over IS NULL OR h > over")
+    return reach.nodes(left.withColumn("over", F.coalesce("over", F.lit(-1).cast("long"))))
 
 
 def merge_bases(pairs: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
     """(pair, node, pos) for rows of (pair, a, b): the common ancestors that no other common ancestor descends to, latest
     first, ties by oid. Pairs without one give no row."""
+    reach = Reach(edges)
     ends = pairs.select(F.explode(F.array(F.struct("pair", F.lit(0).alias("side"), F.col("a").alias("node")), F.struct("pair", F.lit(1).alias("side"), F.col("b").alias("node")))).alias("e"))
-    reached = closure(ends.select(F.struct("e.pair", "e.side").alias("root"), F.col("e.node").alias("node")), edges)
-    common = reached.select(F.col("root.pair").alias("pair"), "node").groupBy("pair", "node").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+    found = reach.heights(ends.select(F.struct("e.pair", "e.side").alias("root"), F.col("e.node").alias("node")))
+    common = found.groupBy(F.col("root.pair").alias("root"), "chain").agg(F.count("*").alias("sides"), F.min("h").alias("h")).where("sides = 2").drop("sides")
     common = materialized(common)
-    below = common.join(edges.select(F.col("child").alias("node"), "parent"), "node").select("pair", F.col("parent").alias("node"))
-    best = common.join(below, ["pair", "node"], "left_anti")
-    order = Window.partitionBy("pair").orderBy(F.desc("time"), "oid")
+    # Of each chain only the highest common node can be a base; it isn't where a common node of another chain has it as parent.
+    tops = common.withColumn("over", F.col("h") - 1)
+    below = common.withColumnRenamed("h", "top").join(reach.crossings, "chain").where("h <= top").select("root", F.col("parent").alias("node"))
+    best = reach.nodes(tops).join(below, ["root", "node"], "left_anti")
+    order = Window.partitionBy("root").orderBy(F.desc("time"), "oid")
     named = best.join(commits.select(F.col("id").alias("node"), "time", "oid"), "node")
-    return named.select("pair", "node", F.row_number().over(order).cast("long").alias("pos"))
+    return named.select(F.col("root").alias("pair"), "node", F.row_number().over(order).cast("long").alias("pos"))
 
 
 def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pair, yes): whether a is b or an ancestor of b."""
-    reached = closure(pairs.select(F.col("pair").alias("root"), F.col("b").alias("node")), edges)
-    hit = reached.select(F.col("root").alias("pair"), F.col("node").alias("a"), F.lit(True).alias("hit"))
-    return pairs.join(hit, ["pair", "a"], "left").select("pair", F.coalesce("hit", F.lit(False)).alias("yes"))
+    """(pair, yes): whether a is b or an ancestor of b, by a's height on its chain."""
+    reach = Reach(edges)
+    found = reach.heights(pairs.select(F.col("pair").alias("root"), F.col("b").alias("node")))
+    asked = reach.place(pairs, "a").join(found.select(F.col("root").alias("pair"), "chain", F.col("h").alias("top")), ["pair", "chain"], "left")
+    return asked.select("pair", F.coalesce(F.col("h") <= F.col("top"), F.lit(False)).alias("yes"))
 
 
 def nth_ancestor(starts: DataFrame, edges: DataFrame, n: int) -> DataFrame:
@@ -89,58 +139,112 @@ def nth_parent(starts: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return starts.join(own, "node").select("root", F.col("parent").alias("node"))
 
 
+def time_key(rows: DataFrame) -> Column:
+    """`time` as a number, be it epoch seconds or a timestamp."""
+    kind = rows.schema["time"].dataType.simpleString()
+    return F.col("time").cast("long") if kind in ("bigint", "int") else F.unix_micros(F.col("time").cast("timestamp"))
+
+
+def timed(reached: DataFrame, commits: DataFrame) -> DataFrame:
+    """(root, node, t, pos): `pos` from 1, latest commit first, ties by the larger id. A range sort deals each root's rows over as many
+    tasks as they fill; a row's place is its place in the task's rows after the rows of the tasks before."""
+    rows = reached.join(commits.select(F.col("id").alias("node"), "time"), "node")
+    order = [F.desc("t"), F.desc("node")]
+    sorted_ = rows.select("root", "node", time_key(rows).alias("t")).repartitionByRange("root", *order)
+    sorted_ = materialized(sorted_.withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sorted_.groupBy("root", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("root", "part").orderBy(*order)).cast("long")
+    return sorted_.join(counts, ["root", "part"]).select("root", "node", "t", (F.col("before") + nth).alias("pos"))
+
+
 def by_time(reached: DataFrame, commits: DataFrame) -> DataFrame:
     """Adds `pos`, from 1, latest commit first: the walk's order wherever no commit is earlier than its parents and times
     differ (see `walk` for the rest). Ties go to the larger id."""
-    order = Window.partitionBy("root").orderBy(F.desc("time"), F.desc("node"))
-    timed = reached.join(commits.select(F.col("id").alias("node"), "time"), "node")
-    return timed.withColumn("pos", F.row_number().over(order).cast("long")).drop("time")
+    return timed(reached, commits).drop("t")
 
 
-def time_key(rows: DataFrame) -> F.Column:
-    """`time` as a number, be it epoch seconds or a timestamp."""
-    kind = rows.schema["time"].dataType.simpleString()
-    return F.col("time").cast("long") if kind in ("bigint", "int") else F.unix_micros(F.col("time").cast("timestamp"))
+def stretches(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, lo, hi): the places of `timed` rows that times alone don't settle: times that tie, and whatever lies between a commit and a
+    parent that is later than it. Before lo and after hi the walk is as times say, as all that is later is popped first."""
+    ties = rows.groupBy("root", "t").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("lo < hi").select("root", "lo", "hi")
+    child = rows.select("root", F.col("node").alias("child"), F.col("pos").alias("hi"))
+    parent = rows.select("root", F.col("node").alias("parent"), F.col("pos").alias("lo"))
+    back = child.join(edges, "child").join(parent, ["root", "parent"]).where("lo < hi").select("root", "lo", "hi")
+    found = ties.unionByName(back)
+    # These are few where clocks are mostly right, so a root's can be put in order.
+    order = Window.partitionBy("root").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    begun = found.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(order), F.lit(0))).cast("int"))
+    run = begun.withColumn("run", F.sum("new").over(Window.partitionBy("root").orderBy("lo", "hi")))
+    return run.groupBy("root", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 
 
 def walk(reached: DataFrame, starts: DataFrame, edges: DataFrame, commits: DataFrame, limit: int | None = None) -> DataFrame:
-    """(root, node, pos): the exact walk also under clock skew and equal times. A heap gives the latest commit, the
-    first pushed of equal ones; unseen parents are pushed in order. One task walks one root's own closure."""
-    rows = reached.join(commits.select(F.col("id").alias("node"), "time"), "node")
-    parents = edges.groupBy("child").agg(F.sort_array(F.collect_list(F.struct("ord", "parent"))).alias("ps"))
-    rows = rows.join(parents, F.col("node") == F.col("child"), "left")
-    rows = rows.join(starts.select("root", "node", F.lit(True).alias("start")), ["root", "node"], "left")
-    rows = rows.select("root", "node", time_key(rows).alias("t"), F.col("ps.parent").alias("ps"), F.coalesce("start", F.lit(False)).alias("start"))
+    """(root, node, pos): the exact walk also under clock skew and equal times: the latest commit is next, of equal ones the first
+    pushed; unseen parents are pushed in order; starts are pushed in the order of their column `k`, if there is one, else of their ids.
+
+    Places that times settle are found by a range sort. Only the stretches that they don't settle go through a heap, each in a task of its
+    own. What is pushed from outside a stretch is pushed by earlier commits, whose places may lie in other stretches; so the heaps run again
+    until no place changes, each time with the places found."""
+    rows = materialized(timed(reached, commits))
+    open_ = stretches(rows, edges)
+    if limit is not None:
+        open_ = open_.where(F.col("lo") <= limit)
+    open_ = materialized(open_)
+    if open_.isEmpty():
+        out = rows.select("root", "node", "pos")
+        return out if limit is None else out.where(F.col("pos") <= limit)
+    inside = open_.select("root", "lo", F.explode(F.sequence("lo", "hi")).alias("pos"))
+    now = materialized(rows.join(inside, ["root", "pos"], "left"))
+    order = F.col("k") if "k" in starts.columns else F.col("node")
+    given = starts.groupBy("root", "node").agg(F.min(order).alias("key")).withColumn("given", F.row_number().over(Window.partitionBy("root").orderBy("key")).cast("long")).drop("key")
+    odd = now.where("lo IS NOT NULL")
+    mine = odd.select("root", F.col("node").alias("parent"), F.col("lo").alias("own"))
+    # All edges into nodes of stretches, with the stretch of the child; those from the same stretch are what the heap pushes.
+    into = materialized(edges.join(mine, "parent").select("root", "own", "parent", "ord", "child"))
     kind, own = (reached.schema[c].dataType.simpleString() for c in ("root", "node"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         time = dict(zip(pdf["node"], pdf["t"]))
-        ps = dict(zip(pdf["node"], pdf["ps"]))
+        pushes = {n: [] if e is None else [x["parent"] for x in sorted(e, key=lambda x: x["ord"])] for n, e in zip(pdf["node"], pdf["inner"])}
+        entering = pdf[pdf["enter"].notna()]
         heap: list[tuple] = []
         seen: set = set()
         out: list = []
 
         def push(nodes) -> None:
             for n in nodes:
-                if n in time and n not in seen:
+                if n not in seen:
                     seen.add(n)
                     heapq.heappush(heap, (-time[n], len(seen), n))
 
-        push(sorted(pdf.loc[pdf["start"], "node"]))
-        while heap and (limit is None or len(out) < limit):
+        push([n for _, n in sorted(((e["a"], e["b"], e["c"]), n) for n, e in zip(entering["node"], entering["enter"]))])
+        while heap:
             _, _, n = heapq.heappop(heap)
             out.append(n)
-            if ps[n] is not None:
-                push(ps[n])
-        return pd.DataFrame({"root": [key[0]] * len(out), "node": out, "pos": range(1, len(out) + 1)})
+            push(pushes[n])
+        return pd.DataFrame({"root": [key[0]] * len(out), "node": out, "pos": range(key[1], key[1] + len(out))})
 
-    return rows.groupBy("root").applyInPandas(one, f"root {kind}, node {own}, pos long")
+    zero = F.lit(0).cast("long")
+    while True:
+        at = now.select("root", F.col("node").alias("child"), F.col("pos").alias("at"), F.col("lo").alias("from"))
+        placed = into.join(at, ["root", "child"])
+        inner = placed.where("from <=> own").groupBy("root", F.col("child").alias("node")).agg(F.collect_list(F.struct("ord", "parent")).alias("inner"))
+        earlier = placed.where("NOT from <=> own AND at < own").select("root", F.col("parent").alias("node"), F.struct(F.lit(1).cast("long").alias("a"), F.col("at").alias("b"), F.col("ord").cast("long").alias("c")).alias("e"))
+        begun = given.select("root", "node", F.struct(zero.alias("a"), F.col("given").alias("b"), zero.alias("c")).alias("e"))
+        enter = earlier.unionByName(begun).groupBy("root", "node").agg(F.min("e").alias("enter"))
+        asked = now.where("lo IS NOT NULL").drop("pos").join(inner, ["root", "node"], "left").join(enter, ["root", "node"], "left")
+        walked = asked.groupBy("root", "lo").applyInPandas(one, f"root {kind}, node {own}, pos long").withColumnRenamed("pos", "new")
+        new = materialized(now.join(walked, ["root", "node"], "left").withColumn("moved", F.coalesce(F.col("new") != F.col("pos"), F.lit(False))).withColumn("pos", F.coalesce("new", "pos")).drop("new"))
+        still = new.where("moved").isEmpty()
+        now = new.drop("moved")
+        if still:
+            out = now.select("root", "node", "pos")
+            return out if limit is None else out.where(F.col("pos") <= limit)
 
 
 def heap_needed(reached: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
-    """(root, exact): whether `by_time` isn't the walk: a parent is later than its child, or times are equal."""
-    t = commits.select(F.col("id").alias("node"), "time")
-    late = edges.join(t.withColumnsRenamed({"node": "child", "time": "ct"}), "child").join(t.withColumnsRenamed({"node": "parent", "time": "pt"}), "parent").where("pt > ct")
-    odd = late.select(F.col("child").alias("node"), F.lit(1).alias("late"))
-    rows = reached.join(t, "node").join(odd.distinct(), "node", "left")
-    return rows.groupBy("root").agg(((F.count_distinct("time") < F.count("*")) | (F.count("late") > 0)).alias("exact"))
+    """(root, exact): whether `by_time` isn't the walk for sure: a parent is later than its child, or times are equal."""
+    rows = materialized(timed(reached, commits))
+    odd = stretches(rows, edges).select("root").distinct().withColumn("odd", F.lit(True))
+    return rows.select("root").distinct().join(odd, "root", "left").select("root", F.coalesce("odd", F.lit(False)).alias("exact"))

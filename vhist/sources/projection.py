@@ -15,6 +15,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vhist.plans.materialize import materialized
+
 TEXTS: dict[str, str] = {
     "commits": """
 SELECT o.o_orderkey AS id, sha1(concat('commit:', o.o_orderkey)) AS oid, o.o_custkey AS branch, o.o_orderdate AS time,
@@ -96,4 +98,5 @@ class History:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.parents.select("child", "parent", "ord")
+        """Stored, so that plans which join edges with each other don't sort the orders again in each copy."""
+        return materialized(self.parents.select("child", "parent", "ord"))
