@@ -113,7 +113,8 @@ class Repo:
     def rev_list(self, *revisions: str, first_parent: bool = False, limit: int | None = None, reverse: bool = False) -> DataFrame:
         """(oid, pos) in the exact order of the walk."""
         found = materialized(self.reached(list(revisions), first_parent))
-        starts = self.tips(*[r.split("..")[-1] or "HEAD" for r in revisions if not r.startswith("^")])
+        given = [self.resolve(r.split("..")[-1] or "HEAD") for r in revisions if not r.startswith("^")]
+        starts = self.spark.createDataFrame([(0, n, k) for k, n in enumerate(given)], "root int, node string, k int")
         edges = self.parents.where("ord = 0") if first_parent else self.parents
         rows = graph.walk(found, starts, edges, self.commits, limit).select(F.col("node").alias("oid"), "pos")
         if reverse:
@@ -152,7 +153,7 @@ class Repo:
 
     def files_text(self, revision: str, specs: list[str] | None = None) -> DataFrame:
         files = self.ls_files(revision, specs).where(F.floor(F.col("mode") / 0o10000) == 8)
-        return files.join(self.blobs, "oid").select("path", F.decode("content", "UTF-8").alias("content"))
+        return files.join(self.blobs, "oid").where(~search.is_binary_bytes(F.col("content"))).select("path", search.as_text(F.col("content")).alias("content"))
 
     def grep(self, patterns: list[str], revision: str = "HEAD", specs: list[str] | None = None, **options: bool) -> DataFrame:
         return search.grep(self.files_text(revision, specs), patterns, **options)
@@ -175,7 +176,7 @@ class Repo:
     def patch(self, old: str | None, new: str, specs: list[str] | None = None) -> DataFrame:
         """(path, status, patch): hunks with three lines around them; null for binary files."""
         rows = self.changes(old, new, specs).withColumn("status", trees.status_of())
-        text = self.blobs.select("oid", F.decode("content", "UTF-8").alias("text"))
+        text = self.blobs.select("oid", F.when(search.is_binary_bytes(F.col("content")), F.lit("\0")).otherwise(search.as_text(F.col("content"))).alias("text"))
         rows = rows.join(text.withColumnsRenamed({"oid": "old_oid", "text": "a"}), "old_oid", "left").join(text.withColumnsRenamed({"oid": "new_oid", "text": "b"}), "new_oid", "left")
         empty = lambda c: F.coalesce(F.col(c), F.lit(""))
         binary = search.is_binary(empty("a")) | search.is_binary(empty("b"))
@@ -188,9 +189,11 @@ class Repo:
         come = rows.where("old_oid IS NULL").select("path", F.col("new_oid").alias("oid"))
         return search.exact_renames(gone, come)
 
-    def path_changes(self, specs: list[str]) -> DataFrame:
-        """(child, ord) where matching paths differ; ord -1 for roots that hold one."""
+    def path_changes(self, specs: list[str], reached: DataFrame | None = None) -> DataFrame:
+        """(child, ord) where matching paths differ; ord -1 for roots that hold one. Only of the commits reached, if these are given."""
         t = self.commits.select("id", "tree")
+        if reached is not None:
+            t = t.join(reached.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
         pairs = self.parents.join(t.withColumnsRenamed({"id": "child", "tree": "new_tree"}), "child").join(t.withColumnsRenamed({"id": "parent", "tree": "old_tree"}), "parent", "left")
         roots = t.join(self.parents.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("child"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("old_tree"), F.col("tree").alias("new_tree"))
         pairs = pairs.select("child", "ord", "old_tree", "new_tree").unionByName(roots)
@@ -202,9 +205,9 @@ class Repo:
         start = self.tips(revision)
         edges = self.parents.where("ord = 0") if first_parent else self.parents
         found = materialized(graph.closure(start, edges))
-        walked = graph.walk(found, start, edges, self.commits)
+        walked = graph.walk(found, start, edges, self.commits, None if specs else limit)
         if specs:
-            shown = history.predicate_log(start, self.parents, materialized(self.path_changes(specs)), first_parent)
+            shown = history.predicate_log(start, self.parents, materialized(self.path_changes(specs, found)), first_parent)
             walked = walked.join(shown, ["root", "node"], "left_semi")
         rows = walked.orderBy("pos").limit(limit) if limit is not None else walked
         c = self.commits.withColumnRenamed("id", "node")
@@ -227,7 +230,7 @@ class Repo:
         for k, part in enumerate(parts):  # one equal-key join a directory, not a whole snapshot of every commit
             step = self.entries.where(F.col("name") == part).select("tree", F.col("oid").alias("to"), "mode")
             at = at.join(step, "tree").where(F.col("mode") == trees.DIRECTORY if k < len(parts) - 1 else F.floor(F.col("mode") / 0o10000) == 8).select("node", F.col("to").alias("tree"))
-        files = at.join(self.blobs, F.col("tree") == F.col("oid")).select("node", F.decode("content", "UTF-8").alias("content"))
+        files = at.join(self.blobs, F.col("tree") == F.col("oid")).select("node", search.as_text(F.col("content")).alias("content"))
         rows = blame.blame(start, materialized(files), self.parents)
         return rows.select("final_line", F.col("node").alias("oid"), "original_line", "boundary", "content")
 

@@ -1,7 +1,7 @@
 """Path specifications: parsed on the driver, applied as a Column.
 
-Magic: `:(top,literal,glob,icase,exclude,attr:...)path` and the short forms `:/`, `:!`, `:^`. A plain specification matches a path
-that is equal, that lies below it as a directory, or that fits it as a wildcard in which * crosses slashes; with
+Magic: `:(top,literal,glob,icase,exclude,attr:...)path` and the short forms `:/`, `:!`, `:^`. A specification matches a path
+that is equal, that lies below it as a directory, or that as a whole fits it as a wildcard in which * crosses slashes; with
 `glob`, * and ? stop at slashes and `**` spans directories. Positive ones are alternatives, excludes take away, and a set
 of excludes alone starts from everything. Folding is for A-Z only.
 """
@@ -167,12 +167,42 @@ def matches(spec: Spec, path: Column) -> Column:
         return below if plain.endswith("/") else (subject == plain) | subject.startswith(plain + "/")
     prefix = literal_prefix(want)
     fits = subject.rlike(glob_regex(want.rstrip("/"), "glob" in spec.magic))
-    # A wildcard also takes what lies below a directory that it fits.
+    # Names that are spelled like the wildcard, and what lies below a directory so named.
+    same = (subject == want.rstrip("/")) | subject.startswith(want.rstrip("/") + "/")
+    # With a final slash, what lies below a directory that it fits.
     split = F.split(subject, "/")
     parents = F.exists(F.sequence(F.lit(1), F.size(split) - 1), lambda n: F.array_join(F.slice(split, 1, n), "/").rlike(glob_regex(want.rstrip("/"), "glob" in spec.magic)))
     deeper = F.when(F.size(split) > 1, parents).otherwise(False)
-    found = deeper if want.endswith("/") else (fits | deeper if "glob" in spec.magic else fits)
-    return (subject >= prefix) & subject.startswith(prefix) & found if prefix else found
+    found = deeper if want.endswith("/") else fits
+    return ((subject >= prefix) & subject.startswith(prefix) & found if prefix else found) | (F.lit(False) if want.endswith("/") else same)
+
+
+def literal_paths(raw: list[str], prefix: str = "") -> list[str] | None:
+    """The plain paths that a set of specifications names, directories with a final slash; None if any needs more than equality. These
+    go the way of `path_log`, without looking at other paths."""
+    out = []
+    for spec in (parse(r, prefix) for r in raw):
+        if spec.attrs or spec.magic & {"icase", "exclude"} or "literal" not in spec.magic and is_wild(spec.path):
+            return None
+        out.append(spec.path or ".")
+    return out or None
+
+
+def follow_path(raw: list[str], prefix: str = "") -> str:
+    """The one file that a history can follow: a single plain path."""
+    if len(raw) != 1:
+        raise PathspecError("following takes one file")
+    spec = parse(raw[0], prefix)
+    if spec.attrs or spec.magic & {"glob", "icase", "exclude"} or "literal" not in spec.magic and is_wild(spec.path):
+        raise PathspecError("following takes a plain path")
+    if not spec.path:
+        raise PathspecError("following takes a file")
+    return spec.path
+
+
+def looks_like_pathspec(argument: str) -> bool:
+    """Whether an argument is meant as a specification even if nothing has its name: long magic or an unescaped wildcard."""
+    return argument.startswith(":(") or is_wild(re.sub(r"\\\\.", "", argument))
 
 
 def compile_specs(raw: list[str], path: Column, prefix: str = "", attributes: Column | None = None) -> Column:

@@ -60,14 +60,23 @@ class Reach:
     def heights(self, starts: DataFrame) -> DataFrame:
         """(root, chain, h): up to which height each root reaches each chain."""
         top = lambda rows: rows.groupBy("root", "chain").agg(F.max("h").alias("h"))
-        new = all_ = materialized(top(self.place(starts.select("root", "node").distinct())))
+
+        def over(rows: DataFrame) -> DataFrame:
+            met = rows.withColumnRenamed("h", "top").join(self.crossings, "chain").where("h <= top")
+            return met.select("root", F.col("to").alias("chain"), F.col("to_h").alias("h"))
+
+        new = known = materialized(top(self.place(starts.select("root", "node").distinct())))
+        pieces = 1
         while True:
-            over = new.withColumnRenamed("h", "top").join(self.crossings, "chain").where("h <= top").select("root", F.col("to").alias("chain"), F.col("to_h").alias("h"))
-            known = all_.withColumnRenamed("h", "known")
-            new = materialized(top(over).join(known, ["root", "chain"], "left").where("known IS NULL OR h > known").select("root", "chain", "h"))
+            # Two changes of chains in one round.
+            once = top(over(new))
+            far = top(once.unionByName(over(once)))
+            new = materialized(far.join(top(known).withColumnRenamed("h", "known"), ["root", "chain"], "left").where("known IS NULL OR h > known").select("root", "chain", "h"))
             if new.isEmpty():
-                return all_
-            all_ = materialized(top(all_.unionByName(new)))
+                return top(known)
+            known, pieces = known.unionByName(new), pieces + 1
+            if pieces % 8 == 0:
+                known = materialized(top(known))
 
     def nodes(self, heights: DataFrame) -> DataFrame:
         """(root, node) of rows (root, chain, h) and, if there is a column `over`, above that height only."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vhist.operators.graph import closure
+from vhist.operators.graph import closure, doubled
 from vhist.plans.materialize import materialized
 
 
@@ -19,15 +19,12 @@ def inherited(commits: DataFrame, edges: DataFrame, writes: DataFrame) -> DataFr
     ``writes`` has (id, value), one row for a commit that writes."""
     first = edges.where("ord = 0").select(F.col("child").alias("id"), "parent")
     at = commits.select("id").join(writes.select("id", F.lit(True).alias("own")), "id", "left").join(first, "id", "left")
-    # `at`: where to look next, and whether that is final: a commit that writes, or a root.
-    now = materialized(
-        at.select("id", F.when(F.col("own") | F.col("parent").isNull(), F.col("id")).otherwise(F.col("parent")).alias("at"), (F.coalesce("own", F.lit(False)) | F.col("parent").isNull()).alias("done"))
-    )
+    # `to`: where to look next, and whether that is final: a commit that writes, or a root.
+    final = F.coalesce("own", F.lit(False)) | F.col("parent").isNull()
+    now = materialized(at.select(F.col("id").alias("node"), F.when(final, F.col("id")).otherwise(F.col("parent")).alias("to"), F.lit(0).alias("n"), final.alias("done")))
     while not now.where("NOT done").isEmpty():
-        far = now.select(F.col("id").alias("at"), F.col("at").alias("far"), F.col("done").alias("far_done"))
-        moved = now.where("NOT done").join(far, "at").select("id", F.col("far").alias("at"), F.col("far_done").alias("done"))
-        now = materialized(now.where("done").unionByName(moved))
-    return now.join(writes.select(F.col("id").alias("at"), "value"), "at", "left").select("id", "value")
+        now = materialized(doubled(doubled(now)))
+    return now.join(writes.select(F.col("id").alias("to"), "value"), "to", "left").select(F.col("node").alias("id"), "value")
 
 
 def effective_edges(values: DataFrame, edges: DataFrame, first_parent: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -47,13 +44,14 @@ def path_log(tips: DataFrame, commits: DataFrame, edges: DataFrame, writes: Data
     """(root, node): the shown commits of each tip's simplified history."""
     values = materialized(inherited(commits, edges, writes))
     kept, shown = effective_edges(values, edges, first_parent)
-    reached = closure(tips, materialized(kept))
+    reached = closure(tips, kept)
     return reached.join(shown.select(F.col("id").alias("node")), "node", "left_semi").select("root", "node")
 
 
 def path_writes(touches: DataFrame, paths: list[str]) -> DataFrame:
-    """(id, value) of a set of literal paths and what lies below them: one value that changes if any file's does."""
-    below = [(F.col("path") == p.rstrip("/")) | F.col("path").startswith(p.rstrip("/") + "/") for p in paths]
+    """(id, value) of a set of literal paths and what lies below them: one value that changes if any file's does. A path that ends with
+    a slash is a directory: a file of that name isn't meant."""
+    below = [F.col("path").startswith(p) if p.endswith("/") else (F.col("path") == p) | F.col("path").startswith(p + "/") for p in paths]
     match = below[0]
     for b in below[1:]:
         match = match | b
@@ -69,7 +67,7 @@ def predicate_log(tips: DataFrame, edges: DataFrame, changed: DataFrame, first_p
     fate = marked.groupBy("child").agg(F.min(F.when(F.col("differs").isNull(), F.col("ord"))).alias("only"))
     kept = used.join(fate, "child").where("only IS NULL OR ord = only").select("child", "ord", "parent")
     shown = fate.where("only IS NULL").select("child").unionByName(changed.where("ord = -1").select("child"))
-    reached = closure(tips, materialized(kept))
+    reached = closure(tips, kept)
     return reached.join(shown.select(F.col("child").alias("node")), "node", "left_semi").select("root", "node")
 
 

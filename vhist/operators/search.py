@@ -15,6 +15,16 @@ SNIFF = 8000
 BLOCK = 1024
 
 
+def is_binary_bytes(content: Column) -> Column:
+    """A NUL among the first 8000 bytes of a binary column."""
+    return F.locate("00", F.regexp_replace(F.hex(F.substring(content, 1, SNIFF)), "(..)", "$1 ")) > 0
+
+
+def as_text(content: Column) -> Column:
+    """Bytes as text where they are UTF-8, else each byte as a character, so that no file ends a job."""
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+
+
 def is_binary(content: Column) -> Column:
     """A NUL among the first 8000 bytes."""
     return F.locate("\0", F.decode(F.substring(F.encode(content, "UTF-8"), 1, SNIFF), "ISO-8859-1")) > 0

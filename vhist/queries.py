@@ -408,14 +408,14 @@ def abbrev_unique(h: History) -> DataFrame:
     oracle(
         "commits refs",
         "SELECT name, arg_min(id, rank) AS id, arg_min(how, rank) AS how FROM (SELECT a.name, refs.id, a.rank, 'ref' AS how FROM asked a JOIN refs ON refs.name = a.place "
-        "UNION ALL SELECT asked.name, min(c.id), 6, 'object' FROM (SELECT DISTINCT name FROM asked) asked JOIN commits c ON length(asked.name) >= 4 AND regexp_full_match(asked.name, '[0-9a-f]*') AND starts_with(c.oid, asked.name) "
+        "UNION ALL SELECT asked.name, min(c.id), 6, 'object' FROM (SELECT DISTINCT name FROM asked) asked JOIN commits c ON substr(asked.name, 1, 8) = substr(c.oid, 1, 8) AND length(asked.name) >= 8 AND starts_with(c.oid, asked.name) "
         "GROUP BY asked.name HAVING count(DISTINCT c.oid) = 1) GROUP BY name",
-        names="SELECT name FROM refs UNION SELECT split_part(name, '/', 3) FROM refs UNION SELECT substr(oid, 1, 8) FROM commits WHERE id % 7 = 0",
+        names="SELECT name FROM refs UNION SELECT split_part(name, '/', 3) FROM refs UNION SELECT substr(oid, 1, 8) FROM commits",
         asked="SELECT name, unnest(['refs/heads/' || name, name, 'refs/' || name, 'refs/tags/' || name]) AS place, unnest([0, 1, 2, 3]) AS rank FROM names",
     )
 )
 def resolve_name_cascade(h: History) -> DataFrame:
-    names = h.refs.select("name").union(h.refs.select(F.element_at(F.split("name", "/"), 3))).union(h.commits.where("id % 7 = 0").select(F.substring("oid", 1, 8))).distinct()
+    names = h.refs.select("name").union(h.refs.select(F.element_at(F.split("name", "/"), 3))).union(h.commits.select(F.substring("oid", 1, 8))).distinct()
     return refs.resolve(names, h.refs, h.commits)
 
 
@@ -612,10 +612,7 @@ def coverage_frontier(h: History) -> DataFrame:
     )
 )
 def coverage_progress(h: History) -> DataFrame:
-    own = h.commits.where("id % 3 <> 0")
-    missing = h.edges.join(own.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("child").alias("id"), F.lit(True).alias("gap")).distinct()
-    rows = own.join(missing, "id", "left")
-    return rows.groupBy("branch").agg(F.count("*").alias("covered"), (~F.coalesce(F.bool_or("gap"), F.lit(False))).alias("complete"))
+    return ingest.progress(h.commits.where("id % 3 <> 0"), h.edges, "branch").drop("error")
 
 
 @query("SELECT o_custkey AS branch, count(*) AS covered, max(o_orderkey) AS latest FROM orders GROUP BY o_custkey")

@@ -1,14 +1,15 @@
 """Incremental coverage: commits arrive in batches, coverage and frontier follow.
 
-A batch's new commits are appended to the covered table under the batch's own number, so a batch that is run again
-after a failure overwrites itself. A manifest names the batches that count; its next version is made by exclusive
-creation, so of two writers one gets a conflict. The frontier is what covered commits name as parents and nobody has
+A batch's new commits are written to a folder of their own, which counts once a manifest names it; a batch that is run again after
+its manifest was published adds nothing. A manifest's next version is made by exclusive creation, so of two writers one gets a
+conflict and has changed nothing. The frontier is what covered commits name as parents and nobody has
 delivered: nothing is dropped for being late.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +65,12 @@ def ingest(arrivals: DataFrame, base: str, key: str = "id"):
         version, manifest = latest(spark, base)
         known = covered(spark, base, schema)
         new = batch.dropDuplicates([key]).join(known.select(key), key, "left_anti").select(*schema.names)
-        new.write.mode("overwrite").parquet(f"{base}/covered/{number}")
-        if number not in manifest["batches"]:
-            publish(spark, base, version + 1, {"batches": [*manifest["batches"], number]})
+        if number in manifest.get("numbers", []):
+            return
+        # A name of its own: a writer that loses the race for the manifest touches nothing that counts.
+        name = f"{number}-{uuid.uuid4().hex}"
+        new.write.parquet(f"{base}/covered/{name}")
+        publish(spark, base, version + 1, {"batches": [*manifest["batches"], name], "numbers": [*manifest.get("numbers", []), number]})
 
     return arrivals.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
 
@@ -77,6 +81,17 @@ def frontier(commits: DataFrame, edges: DataFrame) -> DataFrame:
     return named.join(commits.select(F.col("id").alias("parent")), "parent", "left_anti")
 
 
+def progress(commits: DataFrame, edges: DataFrame, by: str, errors: DataFrame | None = None) -> DataFrame:
+    """(by, covered, complete, error): how much of each line of history is covered, whether nothing is missing below it, and the first
+    error (by, at, error) that its import met and no later success took back. A line with an error isn't complete."""
+    missing = edges.join(commits.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("child").alias("id"), F.lit(True).alias("gap")).distinct()
+    out = commits.join(missing, "id", "left").groupBy(by).agg(F.count("*").alias("covered"), (~F.coalesce(F.bool_or("gap"), F.lit(False))).alias("complete"))
+    if errors is None:
+        return out.withColumn("error", F.lit(None).cast("string"))
+    met = errors.groupBy(by).agg(F.max_by("error", "at").alias("error"))
+    return out.join(met, by, "left").withColumn("complete", F.col("complete") & F.col("error").isNull())
+
+
 def arrivals(spark: SparkSession, folder: str, name: str, per_batch: int = 1) -> DataFrame:
     """A stream of a Parquet table's files, whether the table is one file in the folder or a folder of its own."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
@@ -98,6 +113,6 @@ def ingest_table(spark: SparkSession, folder: str, name: str, select: list[str])
 def compact(spark: SparkSession, base: str, schema, key: str = "id", files: int = 8) -> None:
     """Rewrite all covered batches as one, in key order, under a new manifest version."""
     version, manifest = latest(spark, base)
-    name = f"compact-{version + 1}"
-    covered(spark, base, schema).repartitionByRange(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{base}/covered/{name}")
-    publish(spark, base, version + 1, {"batches": [name]})
+    name = f"compact-{version + 1}-{uuid.uuid4().hex}"
+    covered(spark, base, schema).repartitionByRange(files, key).sortWithinPartitions(key).write.parquet(f"{base}/covered/{name}")
+    publish(spark, base, version + 1, manifest | {"batches": [name]})
