@@ -11,6 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = (
     "commit_projection parent_edges ref_list closure_all_tips nth_first_parent log_path tree_diff_filtered ls_files cat_file_size duplicate_blobs "
     "path_filter_glob path_filter_exclude attr_filter abbrev_unique resolve_name_cascade branch_verbose grep_lines grep_invert grep_basic "
+    "path_levels_glob path_levels_plain path_levels_folder path_levels_unclosed relative_paths show_ref_suffix rev_parse_names ref_widths blob_part "
+    "rev_list_exact shortlog_by_count shortlog_wrapped "
     "rename_exact_pairs line_multiset_added blame_groups shortlog_mailmap coverage_progress stream_ingest"
 ).split()
 

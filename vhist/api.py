@@ -146,11 +146,60 @@ class Repo:
 
     def cat(self, revision: str, path: str) -> bytes:
         """One file's bytes."""
-        row = self.ls_files(revision, [f":(literal){path}"]).where(F.col("path") == path).join(self.blobs, "oid").first()
+        found = trees.entry_at(self.entries, self.tree(revision), path)
+        row = found.where(F.col("mode") != trees.DIRECTORY).join(self.blobs, "oid").first()
         if row is None:
             raise NotFound(path)
         return bytes(row.content)
 
+    def read(self, revision: str, path: str, offset: int, length: int) -> bytes:
+        """Some bytes of a file; only these leave Spark."""
+        found = trees.entry_at(self.entries, self.tree(revision), path).where(F.col("mode") != trees.DIRECTORY)
+        row = found.join(self.blobs, "oid").select(trees.blob_range(F.col("content"), offset, length).alias("part")).first()
+        if row is None:
+            raise NotFound(path)
+        return bytes(row.part)
+
+    def object(self, selector: str) -> tuple[str, str]:
+        """(oid, kind) of `REV`, `REV:path` (`REV:` is the tree), `REV^{tree}` or `REV^{blob}` (refused for what isn't a blob)."""
+        revision, colon, path = selector.partition(":")
+        want = re.search(r"\^\{(tree|blob)\}$", selector)
+        if want and not colon:
+            revision = selector[: want.start()]
+            path, colon = "", ":"
+        if not colon:
+            return self.resolve(revision), "commit"
+        row = trees.entry_at(self.entries, self.tree(revision or "HEAD"), path).first()
+        if row is None:
+            raise NotFound(selector)
+        kind = "tree" if row["mode"] == trees.DIRECTORY else "commit" if row["mode"] == 0o160000 else "blob"
+        if want and want[1] != kind:
+            raise Invalid(f"{selector!r} is a {kind}")
+        return row.oid, kind
+
+    def arguments(self, given: list[str]) -> tuple[list[str], list[str]]:
+        """Revisions and pathspecs of a command line: `--` parts them; without it names are revisions until one isn't, and the rest have to
+        look like pathspecs or be there."""
+        if "--" in given:
+            at = given.index("--")
+            return given[:at], given[at + 1 :]
+        revisions: list[str] = []
+        for k, name in enumerate(given):
+            try:
+                for end in name.lstrip("^").split(".."):
+                    self.resolve(end or "HEAD")
+                revisions.append(name)
+            except (NotFound, Invalid):
+                for spec in given[k:]:
+                    if not pathspec.looks_like_pathspec(spec) and not self.exists(spec):
+                        raise Invalid(f"{spec!r} is neither a revision nor a path") from None
+                return revisions, given[k:]
+        return revisions, []
+
+    def exists(self, spec: str, revision: str = "HEAD") -> bool:
+        """Whether a specification matches anything in a snapshot."""
+        return not self.ls_files(revision, [spec]).isEmpty()
+
     def files_text(self, revision: str, specs: list[str] | None = None) -> DataFrame:
         files = self.ls_files(revision, specs).where(F.floor(F.col("mode") / 0o10000) == 8)
         return files.join(self.blobs, "oid").where(~search.is_binary_bytes(F.col("content"))).select("path", search.as_text(F.col("content")).alias("content"))
@@ -221,8 +270,8 @@ class Repo:
         first = self.parents.where((F.col("child") == at) & (F.col("ord") == 0)).first()
         return self.log(at, limit=1), self.patch(first.parent if first else None, at)
 
-    def blame(self, revision: str, path: str) -> DataFrame:
-        """(final_line, oid, original_line, boundary, content)."""
+    def blame(self, revision: str, path: str, first: int = 1, last: int | None = None) -> DataFrame:
+        """(final_line, oid, original_line, boundary, content, group_lines, previous) of a range of lines."""
         start = self.tips(revision)
         found = graph.closure(start, self.parents).select("node").join(self.commits.select(F.col("id").alias("node"), "tree"), "node")
         at = found
@@ -231,16 +280,23 @@ class Repo:
             step = self.entries.where(F.col("name") == part).select("tree", F.col("oid").alias("to"), "mode")
             at = at.join(step, "tree").where(F.col("mode") == trees.DIRECTORY if k < len(parts) - 1 else F.floor(F.col("mode") / 0o10000) == 8).select("node", F.col("to").alias("tree"))
         files = at.join(self.blobs, F.col("tree") == F.col("oid")).select("node", search.as_text(F.col("content")).alias("content"))
-        rows = blame.blame(start, materialized(files), self.parents)
-        return rows.select("final_line", F.col("node").alias("oid"), "original_line", "boundary", "content")
+        files = materialized(files)
+        rows = blame.previous(blame.with_groups(blame.blame(start, files, self.parents)), files, self.parents)
+        rows = blame.in_range(rows, first, last)
+        return rows.select("final_line", F.col("node").alias("oid"), "original_line", "boundary", "content", "group_lines", "previous")
 
-    def shortlog(self, *revisions: str, with_email: bool = False, no_merges: bool = False) -> DataFrame:
+    def shortlog(self, *revisions: str, with_email: bool = False, no_merges: bool = False, by_count: bool = False) -> DataFrame:
         rows = self.reached(list(revisions) or ["HEAD"]).select(F.col("node").alias("id")).distinct().join(self.commits, "id")
         merges = self.parents.where("ord = 1").select(F.col("child").alias("id")) if no_merges else None
-        return shortlog.counts(rows, with_email, merges)
+        return shortlog.ordered(shortlog.counts(rows, with_email, merges), by_count)
 
     def branches(self, pattern: str | None = None) -> DataFrame:
         return refs.listing(self.refs, self.commits.withColumn("subject", fmt.oneline_subject(F.col("message"))), "refs/heads/", pattern)
 
-    def show_ref(self) -> DataFrame:
-        return self.refs.where("name <> 'HEAD'").select(F.col("object_id").alias("oid"), "name")
+    def show_ref(self, patterns: list[str] | None = None) -> DataFrame:
+        found = self.refs.where("name <> 'HEAD'")
+        return (refs.with_suffix(found, patterns) if patterns else found).select(F.col("object_id").alias("oid"), "name")
+
+    def rev_parse(self, *names: str) -> DataFrame:
+        """(name, id, state); `ambiguous` names give no id."""
+        return refs.rev_parse(self.spark.createDataFrame([(n,) for n in names], "name string"), self.refs, self.commits)

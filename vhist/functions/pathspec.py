@@ -222,3 +222,17 @@ def compile_specs(raw: list[str], path: Column, prefix: str = "", attributes: Co
         (minus if "exclude" in spec.magic else plus).append(hit)
     taken = reduce(lambda a, b: a | b, plus) if plus else F.lit(True)
     return reduce(lambda a, b: a & ~b, minus, taken)
+
+
+def relative_to(path: Column, folder: str) -> Column:
+    """A path as seen from a folder: what is outside goes up by `..` for each level that isn't shared."""
+    if not folder.strip("/"):
+        return path
+    base = folder.strip("/").split("/")
+    parts = F.split(path, "/")
+    shared = F.lit(0)
+    for n in range(1, len(base) + 1):
+        same = (F.size(parts) > n) & (F.array_join(F.slice(parts, 1, n), "/") == "/".join(base[:n]))
+        shared = F.when(same, F.lit(n)).otherwise(shared)
+    rest = F.slice(parts, shared + 1, F.size(parts) - shared)
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.lit(len(base)) - shared), rest), "/")

@@ -47,6 +47,27 @@ def blame(tips: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("root", "final_line", "node", (F.col("line") + 1).cast("long").alias("original_line"), F.coalesce("boundary", F.lit(True)).alias("boundary"), "content")
 
 
+def previous(rows: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds `previous` to attributed rows: the first parent, in order, of the line's commit that has the file; null at boundaries."""
+    held = edges.join(files.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi")
+    before = held.groupBy(F.col("child").alias("node")).agg(F.min_by("parent", "ord").alias("previous"))
+    return rows.join(before, "node", "left")
+
+
+def in_range(rows: DataFrame, first: int, last: int | None = None) -> DataFrame:
+    """The attributed rows of lines ``first`` to ``last`` (from 1; None: the last line)."""
+    if first < 1 or last is not None and last < first:
+        raise ValueError("bad line range")
+    found = rows.where(F.col("final_line") >= first)
+    return found if last is None else found.where(F.col("final_line") <= last)
+
+
+def with_groups(rows: DataFrame) -> DataFrame:
+    """Adds `group_lines`: at the first line of each run, how many lines it has; else 0."""
+    runs = groups(rows).select("root", F.col("first_line").alias("final_line"), F.col("lines").alias("group_lines"))
+    return rows.join(runs, ["root", "final_line"], "left").withColumn("group_lines", F.coalesce("group_lines", F.lit(0)))
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """(root, node, first_line, lines): runs of neighbouring lines from one commit with neighbouring origins."""
     order = Window.partitionBy("root").orderBy("final_line")

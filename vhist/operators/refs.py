@@ -47,3 +47,32 @@ def listing(refs: DataFrame, commits: DataFrame, prefix: str, pattern: str | Non
     if pattern is not None:
         own = own.where(F.col("short").rlike(glob_regex(pattern, pathname=False)))
     return own.join(commits.select("id", "oid", "subject"), "id").select(F.col("short").alias("name"), "oid", "subject")
+
+
+def with_suffix(refs: DataFrame, patterns: list[str]) -> DataFrame:
+    """The references whose name is one of the patterns or ends with it after a slash."""
+    hit = F.col("name").isin(patterns)
+    for p in patterns:
+        hit = hit | F.endswith("name", F.lit("/" + p))
+    return refs.where(hit)
+
+
+def rev_parse(names: DataFrame, refs: DataFrame, commits: DataFrame, least: int = 4) -> DataFrame:
+    """(name, id, state): `ok` where one object is meant, `ambiguous` where references or prefixes mean several, else `missing`. Unlike
+    `resolve`, no place goes before another."""
+    asked = names.distinct()
+    places = F.array(*[F.format_string(p.replace("{}", "%s"), "name") for p in PLACES])
+    by_ref = asked.select("name", F.explode(F.array_distinct(places)).alias("full")).join(refs.select(F.col("name").alias("full"), "id"), "full").select("name", "id")
+    keyed = asked.where(F.col("name").rlike(f"^[0-9a-f]{{{least},40}}$")).withColumn("k", F.substring("name", 1, least))
+    by_hex = keyed.join(commits.select("id", "oid", F.substring("oid", 1, least).alias("k")), "k").where(F.col("oid").startswith(F.col("name"))).select("name", "id")
+    # A reference hides objects that its name is a prefix of.
+    hits = by_ref.unionByName(by_hex.join(by_ref.select("name").distinct(), "name", "left_anti"))
+    met = hits.groupBy("name").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n"))
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("ok")
+    return asked.join(met, "name", "left").select("name", F.when(F.col("n") == 1, F.col("id")).alias("id"), state.alias("state"))
+
+
+def widths(refs: DataFrame) -> DataFrame:
+    """(kind, width): the longest short name below each of refs/heads, refs/tags and so on, as listings are aligned to."""
+    parts = F.split("name", "/", 3)
+    return refs.where(F.size(parts) == 3).groupBy(F.get(parts, F.lit(1)).alias("kind")).agg(F.max(F.length(F.get(parts, F.lit(2)))).cast("long").alias("width"))

@@ -34,3 +34,26 @@ def subjects(commits: DataFrame) -> DataFrame:
     """(author, n, pos, subject): each author's subjects, oldest first. Rows, not arrays, so no author is too large."""
     own = Window.partitionBy("author")
     return commits.select("author", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("time", "id")).cast("long").alias("pos"), subject(F.col("subject")).alias("subject"))
+
+
+def ordered(rows: DataFrame, by_count: bool = False) -> DataFrame:
+    """(author, n) with `pos`: by name, or by falling count and then by name."""
+    order = [F.desc("n"), "author"] if by_count else ["author"]
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def wrapped(subject: Column, indent: int = 6, width: int = 76) -> Column:
+    """A subject's words in lines of at most ``width`` characters (a longer word has a line of its own), each indented."""
+    words = F.filter(F.split(subject, "\\s+"), lambda w: w != "")
+    pad = " " * indent
+    start = F.struct(F.lit("").alias("done"), F.lit(pad).alias("line"))
+
+    def add(acc: Column, word: Column) -> Column:
+        full = (F.length(acc["line"]) > indent) & (F.length(acc["line"]) + 1 + F.length(word) > width)
+        glue = F.when(F.length(acc["line"]) > indent, F.lit(" ")).otherwise(F.lit(""))
+        return F.struct(
+            F.when(full, F.concat(acc["done"], acc["line"], F.lit("\n"))).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.concat(F.lit(pad), word)).otherwise(F.concat(acc["line"], glue, word)).alias("line"),
+        )
+
+    return F.aggregate(words, start, add, lambda acc: F.concat(acc["done"], acc["line"]))

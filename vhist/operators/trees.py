@@ -81,3 +81,20 @@ def status_of(old: str = "old", new: str = "new") -> Column:
     return (
         F.when(F.col(f"{old}_oid").isNull(), "A").when(F.col(f"{new}_oid").isNull(), "D").when(kind(f"{old}_mode") != kind(f"{new}_mode"), "T").otherwise("M")
     )
+
+
+def blob_range(content: Column, offset: int, length: int) -> Column:
+    """Bytes of a file from ``offset`` (from 0), as many as there are up to ``length``."""
+    if offset < 0 or length < 0:
+        raise ValueError("bad range")
+    return F.substring(content, offset + 1, length)
+
+
+def entry_at(entries: DataFrame, roots: DataFrame, path: str) -> DataFrame:
+    """(root, oid, mode) of one path below each (root, tree): a join by equal keys for each directory of the path, whatever the size
+    of the snapshot. The empty path is the tree itself."""
+    at = roots.select("root", F.col("tree").alias("oid"), F.lit(DIRECTORY).alias("mode"))
+    for part in [p for p in path.split("/") if p]:
+        step = entries.where(F.col("name") == part).select("tree", F.col("oid").alias("to"), F.col("mode").alias("m"))
+        at = at.where(F.col("mode") == DIRECTORY).withColumnRenamed("oid", "tree").join(step, "tree").select("root", F.col("to").alias("oid"), F.col("m").alias("mode"))
+    return at

@@ -189,6 +189,19 @@ def rev_list_walk(h: History) -> DataFrame:
     return graph.walk(reached, tips(h), h.edges, h.commits)
 
 
+@query(
+    oracle(
+        "commits parents heads",
+        "SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY epoch_us(time) // 1000000 * 10000000 + node DESC) AS pos FROM reach JOIN commits ON commits.id = node",
+        reach=REACH,
+    )
+)
+def rev_list_exact(h: History) -> DataFrame:
+    """The exact walk where times differ (made so by the ids), which is the order of times."""
+    unique = h.commits.select("id", (F.unix_seconds(F.col("time").cast("timestamp")) * 10_000_000 + F.col("id")).alias("time"))
+    return graph.walk(graph.closure(tips(h), h.edges), tips(h), h.edges, unique)
+
+
 # Logs ---------------------------------------------------------------------------------------------------------------
 
 LOG = f"SELECT root, pos, oid, author, subject FROM (SELECT root, node, {POS}, oid, author, subject FROM reach JOIN commits ON commits.id = node) WHERE pos <= 10"
@@ -369,6 +382,38 @@ spec_query("path_filter_double_star", [":(glob)Brand#1[0-3]/**/*7"], "regexp_ful
 spec_query("path_filter_icase", [":(icase)BRAND#3/small"], "substr(lower(path), 1, 14) = 'brand#3/small/'")
 spec_query("path_filter_exclude", ["Brand#2", ":!*ECONOMY*"], "substr(path, 1, 8) = 'Brand#2/' AND path NOT LIKE '%ECONOMY%'")
 
+LEVELS = """SELECT DISTINCT unnest([p1, p1 || '/' || p2, path, path || '/x']) AS path FROM (SELECT path, split_part(path, '/', 1) AS p1, split_part(path, '/', 2) AS p2 FROM touches)"""
+
+
+def level_query(name: str, specs: list[str], test: str) -> None:
+    """A specification over paths of one to four parts."""
+
+    def run(h: History) -> DataFrame:
+        parts = F.split("path", "/")
+        each = F.array(F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 1, 2), "/"), F.col("path"), F.concat("path", F.lit("/x")))
+        paths = h.touches.select(F.explode(each).alias("path")).distinct()
+        return paths.where(pathspec.compile_specs(specs, F.col("path")))
+
+    run.__name__ = name
+    query(oracle("touches", f"SELECT path FROM levels WHERE {test}", levels=LEVELS))(run)
+
+
+level_query("path_levels_glob", [":(glob)Brand#1?/*"], "regexp_full_match(path, 'Brand#1[^/]/[^/]*')")
+level_query("path_levels_plain", ["Brand#1?/*7"], "regexp_full_match(path, 'Brand#1[^/]/.*7')")
+level_query("path_levels_folder", [":(glob)*/*/"], "regexp_full_match(path, '[^/]*/[^/]*/.*')")
+level_query("path_levels_unclosed", ["Brand#2[", "Brand#2"], "path = 'Brand#2' OR substr(path, 1, 8) = 'Brand#2/'")
+
+
+@query(
+    oracle(
+        "touches",
+        "SELECT path, CASE WHEN path LIKE 'Brand#2/%/%' AND split_part(path, '/', 2) = 'ECONOMY' THEN substr(path, 17) WHEN path LIKE 'Brand#2/%' THEN '../' || substr(path, 9) ELSE '../../' || path END AS relative FROM (SELECT DISTINCT path FROM touches)",
+    )
+)
+def relative_paths(h: History) -> DataFrame:
+    return h.touches.select("path").distinct().select("path", pathspec.relative_to(F.col("path"), "Brand#2/ECONOMY").alias("relative"))
+
+
 RULES = [
     (0, 1, "", "*.txt", "text", "+"), (0, 2, "", "src1/**", "generated", "+"), (0, 3, "", "src2/**", "binary", "+"),
     (1, 1, "src1", "*.txt", "text", "-"), (1, 2, "src3", "*.txt", "lang", "prose"), (1, 3, "src3", "*.txt", "text", "!"),
@@ -435,6 +480,37 @@ def show_ref_deref(h: History) -> DataFrame:
     return own.unionByName(own.where(F.startswith("name", F.lit("refs/tags/"))).withColumn("name", F.concat("name", F.lit("^{}"))))
 
 
+@query(oracle("commits refs", "SELECT oid, refs.name AS name FROM refs JOIN commits USING (id) WHERE regexp_full_match(refs.name, '(.*/)?(c10|heads/c2|v30)')"))
+def show_ref_suffix(h: History) -> DataFrame:
+    return refs.with_suffix(h.refs, ["c10", "heads/c2", "v30"]).join(h.commits.select("id", "oid"), "id").select("oid", "name")
+
+
+@query(
+    oracle(
+        "commits refs",
+        "SELECT name, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id, CASE count(DISTINCT id) WHEN 0 THEN 'missing' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS state FROM ("
+        "SELECT a.name, r.id FROM (SELECT name, unnest(['refs/heads/' || name, name, 'refs/' || name, 'refs/tags/' || name]) AS full FROM names) a JOIN refs r ON r.name = a.full "
+        "UNION ALL SELECT n.name, c.id FROM names n JOIN commits c ON substr(n.name, 1, 4) = substr(c.oid, 1, 4) AND length(n.name) = 4 AND regexp_full_match(n.name, '[0-9a-f]*') AND n.name NOT IN (SELECT split_part(name, '/', 3) FROM refs) "
+        "UNION ALL SELECT name, NULL FROM names) GROUP BY name",
+        names="SELECT name FROM refs UNION SELECT split_part(name, '/', 3) FROM refs UNION SELECT substr(oid, 1, 4) FROM commits UNION SELECT 'none' || id FROM commits",
+    )
+)
+def rev_parse_names(h: History) -> DataFrame:
+    """References by full and short names, four-digit prefixes (some of them ambiguous), and names that nothing has."""
+    names = h.refs.select("name").union(h.refs.select(F.element_at(F.split("name", "/"), 3))).union(h.commits.select(F.substring("oid", 1, 4))).union(h.commits.select(F.concat(F.lit("none"), F.col("id").cast("string"))))
+    return refs.rev_parse(names, h.refs, h.commits)
+
+
+@query(oracle("refs", "SELECT split_part(name, '/', 2) AS kind, CAST(max(length(name) - length(split_part(name, '/', 2)) - 6) AS BIGINT) AS width FROM refs GROUP BY 1"))
+def ref_widths(h: History) -> DataFrame:
+    return refs.widths(h.refs)
+
+
+@query(oracle("files", "SELECT path, hex(encode(content)[11:40]) AS part FROM files WHERE content IS NOT NULL"))
+def blob_part(h: History) -> DataFrame:
+    return h.files.where("content IS NOT NULL").select("path", F.hex(trees.blob_range(F.encode("content", "UTF-8"), 10, 30)).alias("part"))
+
+
 # Search ---------------------------------------------------------------------------------------------------------------
 
 LINES = """SELECT path, line_no, line FROM (SELECT path, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) AS BIGINT) AS line_no FROM (
@@ -539,6 +615,16 @@ def blame_lines(h: History) -> DataFrame:
     return blame.blame(last, v.select("node", "content"), version_edges(v))
 
 
+@query()
+def blame_records(h: History) -> DataFrame:
+    """Attribution with the previous version and the lengths of groups, lines 2 to 40; tested against a plain walker."""
+    v = materialized(versions(h))
+    last = v.groupBy(F.col("conv_id").alias("root")).agg(F.max_by("node", "turn").alias("node"))
+    files, edges = v.select("node", "content"), version_edges(v)
+    rows = materialized(blame.blame(last, files, edges))
+    return blame.in_range(blame.previous(blame.with_groups(rows), files, edges), 2, 40).select("root", "final_line", "node", "original_line", "previous", "group_lines")
+
+
 @query(
     "WITH m AS (SELECT l_orderkey AS root, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS final_line, l_suppkey % 3 AS node FROM lineitem), "
     "o AS (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY final_line) AS original_line FROM m), "
@@ -590,6 +676,22 @@ def shortlog_subjects(h: History) -> DataFrame:
     return shortlog.subjects(h.commits)
 
 
+@query(oracle("commits", "SELECT author, n, row_number() OVER (ORDER BY n DESC, author) AS pos FROM (SELECT author, count(*) AS n FROM commits GROUP BY author)"))
+def shortlog_by_count(h: History) -> DataFrame:
+    return shortlog.ordered(shortlog.counts(h.commits), by_count=True)
+
+
+@query(
+    oracle(
+        "commits",
+        "SELECT id, list_reduce(list_prepend('      ', list_filter(string_split(repeat(subject || ' ', id % 12), ' '), lambda w: w <> '')), lambda acc, w: "
+        "CASE WHEN length(regexp_extract(acc, '[^\n]*$')) = 6 THEN acc || w WHEN length(regexp_extract(acc, '[^\n]*$')) + 1 + length(w) > 76 THEN acc || chr(10) || '      ' || w ELSE acc || ' ' || w END) AS text FROM commits",
+    )
+)
+def shortlog_wrapped(h: History) -> DataFrame:
+    return h.commits.select("id", shortlog.wrapped(F.expr("repeat(concat(subject, ' '), int(id % 12))")).alias("text"))
+
+
 @query(oracle("commits touches", "SELECT path, arg_max(value, touches.id) AS value, max(touches.id) AS id FROM touches GROUP BY path"))
 def latest_per_key(h: History) -> DataFrame:
     return h.touches.groupBy("path").agg(F.max_by("value", "id").alias("value"), F.max("id").alias("id"))
