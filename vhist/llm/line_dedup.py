@@ -63,9 +63,9 @@ def ahead(level: DataFrame, length: int, *names: str) -> DataFrame:
 
 
 def suffix_intervals(lines: DataFrame, longest: int | None = None) -> list[tuple[int, DataFrame]]:
-    """For prefixes of 1, 2, 4, ... lines: the positions that share one, as (d, h, i, n, size, r, later); `size` counts the
-    prefix's characters. Ends when no two suffixes are tied that have further lines, or with prefixes of ``longest`` lines."""
-    level = stored(ranks(lines, ["a", "b"]).dropDuplicates(_AT))
+    """For prefixes of 1, 2, 4, ... lines: the positions that share one, as (d, h, i, n, own, size, r, later); `own` and `size` count the
+    first line's and the prefix's characters. Ends when no two suffixes are tied that have further lines, or with prefixes of ``longest`` lines."""
+    level = stored(ranks(lines.withColumn("own", F.col("size")), ["a", "b"]).dropDuplicates(_AT))
     out, length = [(1, level)], 1
     while longest is None or length < longest:
         if level.where(F.col("i") + length < F.col("n")).isEmpty():
@@ -74,19 +74,20 @@ def suffix_intervals(lines: DataFrame, longest: int | None = None) -> list[tuple
         pairs = level.drop("later").withColumnRenamed("r", "q").join(ahead(level, length, "r", "size"), _AT, "left")
         s = F.when(F.col("i") + length >= F.col("n"), F.lit(-1)).otherwise(F.col("r_next"))
         size = F.col("size") + F.coalesce("size_next", F.lit(0))
-        pairs = pairs.select(*_AT, "n", size.alias("size"), "q", s.alias("s")).where("s IS NOT NULL")
+        pairs = pairs.select(*_AT, "n", "own", size.alias("size"), "q", s.alias("s")).where("s IS NOT NULL")
         length *= 2
         level = stored(ranks(pairs, ["q", "s"]))
         out.append((length, level))
     return out
 
 
-def threes(one: DataFrame, two: DataFrame, chars: int) -> DataFrame:
+def threes(two: DataFrame, chars: int) -> DataFrame:
     """(d, h, i, n, size, later) of depth 3, for the positions whose three lines have so many characters."""
     whole = two.where(F.col("i") + 2 <= F.col("n"))
-    pairs = whole.select(*_AT, "n", F.col("r").alias("q")).join(ahead(whole, 1, "r", "size"), _AT)
-    pairs = pairs.join(one.select(*_AT, F.col("size").alias("own")), _AT).withColumn("size", F.col("own") + F.col("size_next")).where(F.col("size") >= chars)
-    return ranks(pairs.withColumnRenamed("r_next", "s").drop("size_next", "own"), ["q", "s"]).drop("r")
+    pairs = whole.select(*_AT, "n", "own", F.col("r").alias("q")).join(ahead(whole, 1, "r", "size"), _AT)
+    pairs = pairs.select(*_AT, "n", (F.col("own") + F.col("size_next")).alias("size"), "q", F.col("r_next").alias("s")).where(F.col("size") >= chars)
+    first = pairs.groupBy("q", "s").agg(F.count("*").alias("held"), F.min(F.struct(*_AT)).alias("first")).where("held > 1")
+    return pairs.join(first, ["q", "s"]).select(*_AT, "n", "size", (F.struct(*_AT) > F.col("first")).alias("later"))
 
 
 def repeats(docs: DataFrame, chars: int = CHARS) -> DataFrame:
@@ -105,7 +106,7 @@ def repeats(docs: DataFrame, chars: int = CHARS) -> DataFrame:
         run = F.sequence("i", F.col("i") + (length - 1))
         add(length, level, run if length == RUN else F.when(F.col("size") >= chars, run) if length < RUN else F.lit(None))
     if 2 in levels:
-        add(3, threes(levels[1], levels[2], chars), F.sequence("i", F.col("i") + 2))
+        add(3, threes(levels[2], chars), F.sequence("i", F.col("i") + 2))
     # First to a row for each line, then to a row for each document: a task holds no more than one document's lines.
     by_line = marks.groupBy("d", "h", "i").agg(F.max("length").alias("length"))
     return by_line.groupBy("d", "h").agg(F.array_sort(F.collect_list("i")).alias("deleted"), F.max("length").cast("long").alias("longest_run"))
