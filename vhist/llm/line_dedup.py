@@ -43,7 +43,9 @@ def line_count(text: F.Column) -> F.Column:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(d, h, i, n, a, b, size): a row for each line, with its document's number of lines and the line's hash and size."""
-    each = docs.where("text IS NOT NULL").select(*keys(), line_count(F.col("text")).alias("n"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    # What is computed of the whole text comes first: beside an explode it would be computed again for each line.
+    whole = docs.where("text IS NOT NULL").select(*keys(), line_count(F.col("text")).alias("n"), "text")
+    each = whole.select("d", "h", "n", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return each.select("d", "h", "i", "n", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.length("line").alias("size"))
 
 
