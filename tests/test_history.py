@@ -291,5 +291,20 @@ def test_similar_pairs(spark, monkeypatch, tmp_path):
                 want.add((a, b, score))
     docs = [(100 + i, "s", "l", t) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(x) for x in QUERIES["rename_similarity"](spark, str(tmp_path)).collect()]
+    rows = QUERIES["rename_similarity"](spark, str(tmp_path)).collect()
+    members: dict[str, list[tuple[str, int]]] = {}
+    for x in rows:
+        if x.copy:
+            assert files[x.old] == files[x.new] and x.old < x.new
+            members.setdefault(x.old, []).append((x.new, x.score))
+    got = []
+    for x in rows:
+        if not x.copy:
+            assert files[x.old] != files[x.new]
+            both = [[p, *(c for c, _ in members.get(p, []))] for p in (x.old, x.new)]
+            got += [(min(a, b), max(a, b), x.score) for a in both[0] for b in both[1]]
+    for head, copies in members.items():
+        paths = sorted([head, *(c for c, _ in copies)])
+        got += [(a, b, copies[0][1]) for n, a in enumerate(paths) for b in paths[n + 1 :]]
+    assert sum(x.copy for x in rows) == sum(len(c) for c in members.values()) < 20
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100

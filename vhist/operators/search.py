@@ -11,7 +11,7 @@ from vhist.functions import textdiff
 from vhist.plans.materialize import materialized
 
 SNIFF = 8000
-#: Rows of one hot span, or copies of one content, that meet in a task at once.
+#: Rows of one hot span that meet in a task at once.
 BLOCK = 1024
 
 
@@ -127,16 +127,18 @@ def similarity(spans: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def similar_pairs(files: DataFrame, least: int = 30000) -> DataFrame:
-    """(old, new, score) of every two of (path, content) with at least this score, which is 30000 or more; the smaller path is
-    `old`. Files without spans (empty or null) have no score.
+    """(old, new, score, copy) of (path, content): every two different contents with at least this score, which is 30000 or more, as
+    the pair of their smallest paths (copy: false); and for each further path of a content a row from its smallest one (copy:
+    true), with the score of the content with itself. All pairs of paths follow from these; a group of copies has as many rows
+    as members. Files without spans (empty or null) have no score.
 
-    Equal contents are one file until the end. Spans go by the number of files that have them, rare ones first; a file's
+    Equal contents are one file. Spans go by the number of files that have them, rare ones first; a file's
     prefix are its spans up to where the rest is too small for the score. The first span that a pair shares is in both prefixes,
     and both rests from there hold all that they share, so a join of prefixes finds every pair. A hot span is dealt in blocks."""
     named = files.where("content IS NOT NULL").select("path", F.sha2("content", 256).alias("k"), F.octet_length("content").cast("long").alias("size"))
-    groups = named.groupBy("k").agg(F.min("path").alias("head"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    copies = materialized(named.join(groups, "k").select("head", "path", "size", "blocks", F.pmod(F.xxhash64("path"), "blocks").alias("block")))
-    heads = copies.where("path = head").select("path", "size", "blocks")
+    groups = named.groupBy("k").agg(F.min("path").alias("head"))
+    copies = materialized(named.join(groups, "k").select("head", "path", "size"))
+    heads = copies.where("path = head").select("path", "size")
     spans = materialized(textdiff.span_rows(files, F.col("content"), "path").join(heads.select("path", "size"), "path"))
 
     held = spans.groupBy("span").agg(F.count("*").alias("n")).where("n > 1")
@@ -152,12 +154,6 @@ def similar_pairs(files: DataFrame, least: int = 30000) -> DataFrame:
     scored = similarity(common.select("path", "span", "bytes"), heads.select("path", "size"), cand)
 
     own = spans.groupBy("path", "size").agg(F.sum("bytes").alias("shared"))
-    several = copies.where("path <> head").select(F.col("head").alias("path")).distinct()
-    alike = own.join(several, "path").select(F.col("path").alias("old"), F.col("path").alias("new"), F.floor(F.col("shared") * 60000 / F.col("size")).cast("long").alias("score"))
-    out = materialized(scored.unionByName(alike).where(F.col("score") >= least))
-    for side in ("old", "new"):
-        blocks = heads.select(F.col("path").alias(side), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        each = copies.select(F.col("head").alias(side), "block", F.col("path").alias(f"{side}_path"))
-        out = out.join(blocks, side).join(each, [side, "block"]).drop("block")
-    every = out.where("old <> new OR old_path < new_path")
-    return every.select(F.least("old_path", "new_path").alias("old"), F.greatest("old_path", "new_path").alias("new"), "score")
+    further = copies.where("path <> head").select(F.col("head").alias("old"), F.col("path").alias("new"))
+    alike = further.join(own.withColumnRenamed("path", "old"), "old").select("old", "new", F.floor(F.col("shared") * 60000 / F.col("size")).cast("long").alias("score"))
+    return scored.withColumn("copy", F.lit(False)).unionByName(alike.withColumn("copy", F.lit(True))).where(F.col("score") >= least)

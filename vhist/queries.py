@@ -551,7 +551,7 @@ def rename_exact_pairs(h: History) -> DataFrame:
 
 @query()
 def rename_similarity(h: History) -> DataFrame:
-    """All pairs of files that share half of the larger one or more; not SQL-expressible, since spans are cut by byte."""
+    """Pairs of contents that share half of the larger one or more, and the copies of each; not SQL-expressible, since spans are cut by byte."""
     return search.similar_pairs(h.files)
 
 
