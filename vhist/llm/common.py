@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -14,23 +15,29 @@ from pyspark.sql import functions as F
 #: Rows of one label fold in three are held out: crc32 of the id as text, modulo 3, equal to this.
 HELD_OUT_FOLD = 1
 
+#: Rows of a few numbers that one task writes, where a table's size is known.
+ROWS_A_TASK = 50_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one only where that setting is absent in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps survive lost executors
-    and recompute nothing that stands before this point."""
+    and recompute nothing that stands before this point. ``rows`` is a bound of its rows, if one is known: a table of few
+    narrow rows is written by as many tasks as there are cores, not by one task a shuffle partition."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -309,7 +309,7 @@ def links_to_hubs(own: DataFrame, best: DataFrame, k: int, similar: int) -> Data
     one by one; a hub with many is in as many tasks as these fill."""
     sizes = own.groupBy("doc_id").agg(F.max("n").alias("n"))
     tasks = best.join(sizes, F.col("b") == F.col("doc_id")).groupBy("a").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("tasks"))
-    tasks = stored(tasks)
+    tasks = stored(tasks, best.count())
     members = own.join(best.join(tasks, "a"), F.col("doc_id") == F.col("b")).select("a", F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("p"), F.lit(1).alias("side"), "doc_id", "text")
     hubs = own.join(tasks, F.col("doc_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("p"), F.lit(0).alias("side"), "doc_id", "text")
     rows = hubs.unionByName(members).repartition("a", "p").sortWithinPartitions("a", "p", "side")
@@ -415,35 +415,36 @@ def near_duplicates(docs: DataFrame, k: int, similar: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = stored(set_keys(rows, k))
-    reps = stored(keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep")))
+    most = keys.count()
+    reps = stored(keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep")), most)
     # Ids that stand for several sets aren't told apart here, so all of their rows come along.
     near = reps.join(candidate_sets(rows.where("doc_id IS NOT NULL"), k, similar), "x", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
-    near = stored(near)
+    near = stored(near, most)
     own = stored(filtered(rows, near).join(near, "doc_id"))
     pairs = stored(star_pairs(own, k, similar))
-    best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")))
-    first = stored(components(links_to_hubs(own, best, k, similar)))
+    best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), most)
+    first = stored(components(links_to_hubs(own, best, k, similar)), most)
     # Proposed links between different components, each standing for all of its sets.
     at = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     to = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     between = pairs.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    family = stored(components(between)).select(F.col("node").alias("c"), F.col("component").alias("family"))
+    family = stored(components(between), most).select(F.col("node").alias("c"), F.col("component").alias("family"))
     named = own.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     left = stored(named.join(family, "c"))
-    more = left.join(stored(contested(left, k, similar)), "doc_id", "left_semi")
+    more = left.join(stored(contested(left, k, similar), most), "doc_id", "left_semi")
     # Ids that repeat join all the sets that they stand for.
     filled = keys.where("doc_id IS NOT NULL")
-    again = stored(filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    again = stored(filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), most)
     several = filled.join(again, "doc_id", "left_semi").join(reps, ["n", "x", "y"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     # Both kinds of links as links between the components so far, each named by its smallest id.
     ends = stored(links_in_blocks(more, k, similar).unionByName(several)).join(at, "a", "left").join(to, "b", "left")
     last = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    last = stored(last).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    last = stored(last, most).select(F.col("node").alias("component"), F.col("component").alias("final"))
     nodes = near.select("doc_id").unionByName(several.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
     nodes = nodes.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    found = stored(nodes.join(last, "component", "left").select(F.col("doc_id").alias("rep"), F.coalesce("final", "component").alias("c")))
-    named = stored(reps.join(found, "rep", "left").select("n", "x", "y", F.coalesce("c", "rep").alias("c")))
-    repeated = stored(again.join(found, F.col("doc_id") == F.col("rep")).select("doc_id", F.col("c").alias("own")))
+    found = stored(nodes.join(last, "component", "left").select(F.col("doc_id").alias("rep"), F.coalesce("final", "component").alias("c")), most)
+    named = stored(reps.join(found, "rep", "left").select("n", "x", "y", F.coalesce("c", "rep").alias("c")), most)
+    repeated = stored(again.join(found, F.col("doc_id") == F.col("rep")).select("doc_id", F.col("c").alias("own")), most)
     out = keys.join(named, ["n", "x", "y"], "left").join(repeated, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "c", "doc_id")).alias("component_id"))
 
