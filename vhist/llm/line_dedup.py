@@ -78,7 +78,7 @@ def suffix_intervals(lines: DataFrame, longest: int | None = None) -> list[tuple
         size = F.col("size") + F.coalesce("size_next", F.lit(0))
         pairs = pairs.select(*_AT, "n", "own", size.alias("size"), "q", s.alias("s")).where("s IS NOT NULL")
         length *= 2
-        level = stored(ranks(pairs, ["q", "s"]))
+        level = stored(ranks(pairs, ["q", "s"]), level.count())
         out.append((length, level))
     return out
 
