@@ -218,3 +218,18 @@ def test_language(spark):
     want = key(language.identify(more, learned))
     assert len(want) == 207 and want == key(language.identify_in_blocks(more, as_table, block=1)) == key(language.identify(more, as_table))
     assert language.identify(docs.limit(0), learned).count() == 0
+
+
+def test_quality_forgets_codecs():
+    """A worker that encoded texts doesn't keep the codec's caches while it learns or scores."""
+    import public_tokenizers
+
+    from vhist.llm import bpe
+    from vhist.llm.common import forget_codecs
+
+    forget_codecs()
+    assert bpe.codec_for(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN).encode("some words")
+    assert bpe.codec_for.cache_info().currsize == 1
+    forget_codecs()
+    assert bpe.codec_for.cache_info().currsize == 0
+    assert bpe.codec_for(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN).decode([]) == ""

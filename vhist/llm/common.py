@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 import zlib
@@ -57,6 +60,19 @@ def is_held_out(doc_id: object) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 3 == HELD_OUT_FOLD
 
 
+def forget_codecs() -> None:
+    """Empty the codec caches that earlier BPE tasks left in this Python worker, and give their memory back to the system."""
+    bpe = sys.modules.get("vhist.llm.bpe")
+    if bpe is None or not bpe.codec_for.cache_info().currsize:
+        return
+    bpe.codec_for.cache_clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of each value of a string column; null gives b''."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())

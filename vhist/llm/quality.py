@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, strings, table
+from .common import forget_codecs, held_out, strings, table
 
 BITS = 18
 MAX_ROWS = 20_000
@@ -96,6 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     rows = docs.select("doc_id", "text").join(sample, "doc_id").withColumn("shard", F.pmod("order", F.lit(shards)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget_codecs()
         # Ids in the order of their hash; the text settles rows that share an id.
         pdf = pdf.assign(text=pdf["text"].fillna("")).sort_values(["order", "label", "text"])
         w, b = learn(zip(pdf["text"], pdf["label"]), bits)
@@ -120,6 +121,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     own = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_codecs()
         kit, w = Features(bits), shared.value
         for batch in batches:
             out = []
