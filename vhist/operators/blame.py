@@ -23,7 +23,7 @@ def kept_lines(files: DataFrame, edges: DataFrame) -> DataFrame:
     child = files.withColumnsRenamed({"node": "child", "content": "new"})
     parent = files.withColumnsRenamed({"node": "parent", "content": "old"})
     pairs = edges.join(child, "child").join(parent, "parent")
-    rows = diff_rows(pairs, F.col("old"), F.col("new"), "child", "ord", "parent").where("kind = ' '")
+    rows = diff_rows(pairs, F.col("old"), F.col("new"), "child", "ord", "parent", kept=True)
     return rows.select(F.col("child").alias("node"), F.col("b").alias("line"), "ord", "parent", F.col("a").alias("parent_line"))
 
 
