@@ -106,6 +106,29 @@ def test_walk_with_few_times(spark, seed):
     assert got == plain_walk(parents, time, given)
 
 
+def test_walk_writes_only_what_moves(spark, monkeypatch):
+    """Rows outside stretches are stored once, with the times' order, and not again with the heaps' places."""
+    stored = []
+
+    def counted(df):
+        out = materialized(df)
+        stored.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "materialized", counted)
+    parents = {i: [i - 1] if i else [] for i in range(300)}
+    time = {i: START + timedelta(seconds=i - (i == 200)) for i in parents}
+    edges = spark.createDataFrame([(c, k, p) for c, ps in parents.items() for k, p in enumerate(ps)], "child long, ord int, parent long")
+    commits = spark.createDataFrame([(i, time[i]) for i in parents], "id long, time timestamp_ntz")
+    start = roots_of(spark, [(1, 299)])
+    got = [x.node for x in graph.walk(graph.closure(start, edges), start, edges, commits).orderBy("pos").collect()]
+    assert got == plain_walk(parents, time, [299])
+    assert [n for columns, n in stored if "t" in columns and "lo" in columns] == [2, 2]
+    monkeypatch.setattr(graph, "ROWS_A_ROOT", 100)
+    dealt = graph.timed(graph.closure(start, edges), commits).orderBy("pos").collect()
+    assert [x.pos for x in dealt] == list(range(1, 301)) and sorted(x.node for x in dealt if x.tie) == [199, 200]
+
+
 def test_random_graphs(spark):
     """Closures, ranges, bases and membership on graphs with many chains, nodes without edges, and unrelated roots."""
     for seed in range(1):

@@ -11,13 +11,19 @@ and every round is cut by a stored table.
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from vhist.plans.materialize import materialized
+from vhist.plans.materialize import materialized, stored_once
+
+#: Rows of one root that a task puts in order by itself.
+ROWS_A_ROOT = 1_000_000
 
 
 def doubled(jump: DataFrame) -> DataFrame:
@@ -30,8 +36,9 @@ def doubled(jump: DataFrame) -> DataFrame:
 class Reach:
     """The chains of a graph. ``edges`` may be any selection of parent edges; nodes that no edge names are chains of their own."""
 
-    def __init__(self, edges: DataFrame):
-        self.edges = materialized(edges.select("child", "ord", "parent"))
+    def __init__(self, edges: DataFrame, first_parent: bool = False):
+        kept = stored_once(edges)
+        self.edges = (kept.where("ord = 0") if first_parent else kept).select("child", "ord", "parent")
 
     @cached_property
     def chains(self) -> DataFrame:
@@ -88,7 +95,7 @@ class Reach:
 
 def closure(roots: DataFrame, edges: DataFrame, first_parent: bool = False, reach: Reach | None = None) -> DataFrame:
     """(root, node): each root's start nodes and all their ancestors."""
-    reach = reach or Reach(edges.where("ord = 0") if first_parent else edges)
+    reach = reach or Reach(edges, first_parent)
     return reach.nodes(reach.heights(roots))
 
 
@@ -155,31 +162,56 @@ def time_key(rows: DataFrame) -> Column:
 
 
 def timed(reached: DataFrame, commits: DataFrame) -> DataFrame:
-    """(root, node, t, pos): `pos` from 1, latest commit first, ties by the larger id. A range sort deals each root's rows over as many
-    tasks as they fill; a row's place is its place in the task's rows after the rows of the tasks before."""
-    rows = reached.join(commits.select(F.col("id").alias("node"), "time"), "node")
+    """(root, node, t, pos, tie): `pos` from 1, latest commit first, ties by the larger id; `tie` marks rows whose time another row of the
+    root has. The rows of a root are put in order by one task, unless there are more than ROWS_A_ROOT: those are dealt by a range sort over as
+    many tasks as they fill; a row's place is its place in the task's rows after the rows of the tasks before."""
+    reached = stored_once(reached)
+    # Few: at most one root for each ROWS_A_ROOT rows.
+    large = materialized(reached.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_A_ROOT).select("root"))
     order = [F.desc("t"), F.desc("node")]
-    sorted_ = rows.select("root", "node", time_key(rows).alias("t")).repartitionByRange("root", *order)
+
+    def keyed(found: DataFrame) -> DataFrame:
+        rows = found.join(commits.select(F.col("id").alias("node"), "time"), "node")
+        return rows.select("root", "node", time_key(rows).alias("t"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        one = Window.partitionBy("root").orderBy(*order)
+        same = lambda other: F.coalesce(other(F.struct("t")).over(one) == F.struct("t"), F.lit(False))
+        tie = same(F.lag) | same(F.lead)
+        return rows.select("root", "node", "t", F.row_number().over(one).cast("long").alias("pos"), tie.alias("tie"))
+
+    if large.isEmpty():
+        return placed(keyed(reached))
+    sorted_ = keyed(reached.join(F.broadcast(large), "root", "left_semi")).repartitionByRange("root", *order)
     sorted_ = materialized(sorted_.withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = sorted_.groupBy("root", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ties = sorted_.groupBy("root", "t").agg((F.count("*") > 1).alias("tie"))
     nth = F.row_number().over(Window.partitionBy("root", "part").orderBy(*order)).cast("long")
-    return sorted_.join(counts, ["root", "part"]).select("root", "node", "t", (F.col("before") + nth).alias("pos"))
+    dealt = sorted_.join(counts, ["root", "part"]).select("root", "node", "t", (F.col("before") + nth).alias("pos"))
+    return placed(keyed(reached.join(F.broadcast(large), "root", "left_anti"))).unionByName(dealt.join(ties.withColumnsRenamed({"root": "r", "t": "s"}), F.expr("root = r AND t <=> s")).select("root", "node", "t", "pos", "tie"))
 
 
 def by_time(reached: DataFrame, commits: DataFrame) -> DataFrame:
     """Adds `pos`, from 1, latest commit first: the walk's order wherever no commit is earlier than its parents and times
     differ (see `walk` for the rest). Ties go to the larger id."""
-    return timed(reached, commits).drop("t")
+    return timed(reached, commits).drop("t", "tie")
+
+
+def late_edges(edges: DataFrame, commits: DataFrame) -> DataFrame:
+    """(child, parent): the edges whose parent stands before its child when times put them in order, in whatever root."""
+    times = commits.select("id", time_key(commits).alias("t"))
+    both = edges.select("child", "parent").join(times.select(F.col("id").alias("child"), F.col("t").alias("ct")), "child").join(times.select(F.col("id").alias("parent"), F.col("t").alias("pt")), "parent")
+    return materialized(both.where("pt > ct OR (pt <=> ct AND parent > child) OR (ct IS NULL AND pt IS NOT NULL)").select("child", "parent"))
 
 
-def stretches(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def stretches(rows: DataFrame, late: DataFrame) -> DataFrame:
     """(root, lo, hi): the places of `timed` rows that times alone don't settle: times that tie, and whatever lies between a commit and a
     parent that is later than it. Before lo and after hi the walk is as times say, as all that is later is popped first."""
-    ties = rows.groupBy("root", "t").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("lo < hi").select("root", "lo", "hi")
+    ties = rows.where("tie").groupBy("root", "t").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).select("root", "lo", "hi")
     child = rows.select("root", F.col("node").alias("child"), F.col("pos").alias("hi"))
     parent = rows.select("root", F.col("node").alias("parent"), F.col("pos").alias("lo"))
-    back = child.join(edges, "child").join(parent, ["root", "parent"]).where("lo < hi").select("root", "lo", "hi")
+    back = late.join(child, "child").join(parent, ["root", "parent"]).where("lo < hi").select("root", "lo", "hi")
     found = ties.unionByName(back)
     # These are few where clocks are mostly right, so a root's can be put in order.
     order = Window.partitionBy("root").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,27 +228,37 @@ def walk(reached: DataFrame, starts: DataFrame, edges: DataFrame, commits: DataF
     own. What is pushed from outside a stretch is pushed by earlier commits, whose places may lie in other stretches; so the heaps run again
     until no place changes, each time with the places found."""
     rows = materialized(timed(reached, commits))
-    open_ = stretches(rows, edges)
+    late = late_edges(edges, commits)
+    open_ = stretches(rows, late)
     if limit is not None:
         open_ = open_.where(F.col("lo") <= limit)
     open_ = materialized(open_)
     if open_.isEmpty():
         out = rows.select("root", "node", "pos")
         return out if limit is None else out.where(F.col("pos") <= limit)
-    inside = open_.select("root", "lo", F.explode(F.sequence("lo", "hi")).alias("pos"))
-    now = materialized(rows.join(inside, ["root", "pos"], "left"))
+    inside = materialized(open_.select("root", "lo", F.explode(F.sequence("lo", "hi")).alias("pos")))
+    # Without late edges, stretches hold nothing but ties, and other rows needn't be looked at. Only rows of stretches can move.
+    only_ties = late.isEmpty()
+    odd = now = materialized((rows.where("tie") if only_ties else rows).select("root", "node", "t", "pos").join(inside, ["root", "pos"]))
+    even = rows.where("NOT tie") if only_ties else rows.join(inside, ["root", "pos"], "left_anti")
     order = F.col("k") if "k" in starts.columns else F.col("node")
     given = starts.groupBy("root", "node").agg(F.min(order).alias("key")).withColumn("given", F.row_number().over(Window.partitionBy("root").orderBy("key")).cast("long")).drop("key")
-    odd = now.where("lo IS NOT NULL")
     mine = odd.select("root", F.col("node").alias("parent"), F.col("lo").alias("own"))
-    # All edges into nodes of stretches, with the stretch of the child; those from the same stretch are what the heap pushes.
-    into = materialized(edges.join(mine, "parent").select("root", "own", "parent", "ord", "child"))
-    kind, own = (reached.schema[c].dataType.simpleString() for c in ("root", "node"))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        time = dict(zip(pdf["node"], pdf["t"]))
-        pushes = {n: [] if e is None else [x["parent"] for x in sorted(e, key=lambda x: x["ord"])] for n, e in zip(pdf["node"], pdf["inner"])}
-        entering = pdf[pdf["enter"].notna()]
+    # All edges into nodes of stretches, with the stretch of the child, if it is in one; those from the same stretch are what the heap pushes.
+    into = edges.join(mine, "parent").select("root", "own", "parent", "ord", "child")
+    into = into.join(rows.select("root", F.col("node").alias("child"), F.col("pos").alias("at")), ["root", "child"])
+    into = materialized(into.join(odd.select("root", F.col("node").alias("child"), F.col("lo").alias("from")), ["root", "child"], "left"))
+    inner = into.where("from = own").groupBy("root", F.col("child").alias("node")).agg(F.collect_list(F.struct("ord", "parent")).alias("inner"))
+    outer = into.where("from IS NULL AND at < own")
+    # What stands in another stretch may move in there, but not out of it.
+    other = materialized(into.where("from <> own AND at < own"))
+    settled = other.isEmpty()
+    schema = reached.select("root", "node").schema.add("pos", "long")
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def one(rows: list[dict]) -> list:
+        time = {r["node"]: float("inf") if r["t"] is None else -r["t"] for r in rows}
+        pushes = {r["node"]: [x["parent"] for x in sorted(r["inner"] or [], key=lambda x: x["ord"])] for r in rows}
         heap: list[tuple] = []
         seen: set = set()
         out: list = []
@@ -225,35 +267,48 @@ def walk(reached: DataFrame, starts: DataFrame, edges: DataFrame, commits: DataF
             for n in nodes:
                 if n not in seen:
                     seen.add(n)
-                    heapq.heappush(heap, (-time[n], len(seen), n))
+                    heapq.heappush(heap, (time[n], len(seen), n))
 
-        push([n for _, n in sorted(((e["a"], e["b"], e["c"]), n) for n, e in zip(entering["node"], entering["enter"]))])
+        push([n for _, n in sorted((tuple(r["enter"].values()), r["node"]) for r in rows if r["enter"])])
         while heap:
             _, _, n = heapq.heappop(heap)
             out.append(n)
             push(pushes[n])
-        return pd.DataFrame({"root": [key[0]] * len(out), "node": out, "pos": range(key[1], key[1] + len(out))})
+        return out
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches of a task one after the other: their rows come together. (A group of its own for each costs more than its heap.)"""
+        made: list[list] = [[], [], []]
+        same = lambda r: (r["root"], r["lo"])
+        for (root_, lo), rows in itertools.groupby((r for b in batches for r in b.to_pylist()), same):
+            found = one(list(rows))
+            for to, values in zip(made, ([root_] * len(found), found, range(lo, lo + len(found)))):
+                to.extend(values)
+            if len(made[0]) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds)], ["root", "node", "pos"])
+                made = [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds)], ["root", "node", "pos"])
 
     zero = F.lit(0).cast("long")
     while True:
-        at = now.select("root", F.col("node").alias("child"), F.col("pos").alias("at"), F.col("lo").alias("from"))
-        placed = into.join(at, ["root", "child"])
-        inner = placed.where("from <=> own").groupBy("root", F.col("child").alias("node")).agg(F.collect_list(F.struct("ord", "parent")).alias("inner"))
-        earlier = placed.where("NOT from <=> own AND at < own").select("root", F.col("parent").alias("node"), F.struct(F.lit(1).cast("long").alias("a"), F.col("at").alias("b"), F.col("ord").cast("long").alias("c")).alias("e"))
+        at = now.select("root", F.col("node").alias("child"), F.col("pos").alias("at"))
+        placed = outer if settled else outer.unionByName(other.drop("at").join(at, ["root", "child"]), allowMissingColumns=True)
+        earlier = placed.select("root", F.col("parent").alias("node"), F.struct(F.lit(1).cast("long").alias("a"), F.col("at").alias("b"), F.col("ord").cast("long").alias("c")).alias("e"))
         begun = given.select("root", "node", F.struct(zero.alias("a"), F.col("given").alias("b"), zero.alias("c")).alias("e"))
         enter = earlier.unionByName(begun).groupBy("root", "node").agg(F.min("e").alias("enter"))
-        asked = now.where("lo IS NOT NULL").drop("pos").join(inner, ["root", "node"], "left").join(enter, ["root", "node"], "left")
-        walked = asked.groupBy("root", "lo").applyInPandas(one, f"root {kind}, node {own}, pos long").withColumnRenamed("pos", "new")
-        new = materialized(now.join(walked, ["root", "node"], "left").withColumn("moved", F.coalesce(F.col("new") != F.col("pos"), F.lit(False))).withColumn("pos", F.coalesce("new", "pos")).drop("new"))
-        still = new.where("moved").isEmpty()
+        asked = now.drop("pos").join(inner, ["root", "node"], "left").join(enter, ["root", "node"], "left")
+        walked = asked.repartition("root", "lo").sortWithinPartitions("root", "lo").mapInArrow(each, schema).withColumnRenamed("pos", "new")
+        new = now.join(walked, ["root", "node"], "left").withColumn("moved", F.coalesce(F.col("new") != F.col("pos"), F.lit(False))).withColumn("pos", F.coalesce("new", "pos")).drop("new")
+        new = materialized(new)
+        done = settled or new.where("moved").isEmpty()
         now = new.drop("moved")
-        if still:
-            out = now.select("root", "node", "pos")
+        if done:
+            out = even.select("root", "node", "pos").unionByName(now.select("root", "node", "pos"))
             return out if limit is None else out.where(F.col("pos") <= limit)
 
 
 def heap_needed(reached: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
     """(root, exact): whether `by_time` isn't the walk for sure: a parent is later than its child, or times are equal."""
     rows = materialized(timed(reached, commits))
-    odd = stretches(rows, edges).select("root").distinct().withColumn("odd", F.lit(True))
+    odd = stretches(rows, late_edges(edges, commits)).select("root").distinct().withColumn("odd", F.lit(True))
     return rows.select("root").distinct().join(odd, "root", "left").select("root", F.coalesce("odd", F.lit(False)).alias("exact"))
