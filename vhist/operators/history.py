@@ -7,7 +7,9 @@ what a tip reaches over these edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vhist.operators.graph import closure, doubled
@@ -48,14 +50,15 @@ def path_log(tips: DataFrame, commits: DataFrame, edges: DataFrame, writes: Data
     return reached.join(shown.select(F.col("id").alias("node")), "node", "left_semi").select("root", "node")
 
 
-def path_writes(touches: DataFrame, paths: list[str]) -> DataFrame:
-    """(id, value) of a set of literal paths and what lies below them: one value that changes if any file's does. A path that ends with
-    a slash is a directory: a file of that name isn't meant."""
+def below_any(paths: list[str]) -> Column:
+    """Whether `path` is one of the paths or lies below one. A path that ends with a slash is a directory: a file of that name isn't meant."""
     below = [F.col("path").startswith(p) if p.endswith("/") else (F.col("path") == p) | F.col("path").startswith(p + "/") for p in paths]
-    match = below[0]
-    for b in below[1:]:
-        match = match | b
-    each = touches.where(match).select("id", F.concat_ws("=", "path", "value").alias("v"))
+    return reduce(Column.__or__, below)
+
+
+def path_writes(touches: DataFrame, paths: list[str]) -> DataFrame:
+    """(id, value) of a set of literal paths and what lies below them: one value that changes if any file's does."""
+    each = touches.where(below_any(paths)).select("id", F.concat_ws("=", "path", "value").alias("v"))
     return each.groupBy("id").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("v")), ",").cast("binary")).alias("value"))
 
 
@@ -80,6 +83,6 @@ def path_changes(touches: DataFrame, edges: DataFrame) -> DataFrame:
     """(child, ord, path): commits' own writes against each parent's own write there (ord 0 for roots)."""
     own = touches.select(F.col("id").alias("child"), "path", F.col("value").alias("cv"))
     theirs = touches.select(F.col("id").alias("parent"), "path", F.col("value").alias("pv"))
-    against = own.join(edges, "child").join(theirs, ["parent", "path"], "left").where("NOT cv <=> pv").select("child", "ord", "path")
-    roots = own.join(edges.select("child").distinct(), "child", "left_anti").select("child", F.lit(0).alias("ord"), "path")
-    return against.unionByName(roots)
+    # A root's writes have no parent, so they meet nothing in the second join and stay, whatever their value.
+    against = own.join(edges.select("child", "ord", "parent"), "child", "left").join(theirs, ["parent", "path"], "left")
+    return against.where("parent IS NULL OR NOT cv <=> pv").select("child", F.coalesce("ord", F.lit(0)).alias("ord"), "path")
