@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vhist.functions import pathspec, textdiff
 from vhist.operators import attributes, blame, graph, history, refs, search, shortlog, trees
-from vhist.plans.materialize import materialized
+from vhist.plans.materialize import materialized, spread
 from vhist.sources.projection import History, duckdb_with
 from vhist.streaming import ingest
 
@@ -633,7 +633,7 @@ def blame_records(h: History) -> DataFrame:
 def blame_groups(h: History) -> DataFrame:
     """Runs in rows whose origin is given by a fixed rule on line items."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    m = h.lineitem.select(F.col("l_orderkey").alias("root"), F.row_number().over(order).cast("long").alias("final_line"), (F.col("l_suppkey") % 3).alias("node"))
+    m = spread(h.lineitem, "l_orderkey").select(F.col("l_orderkey").alias("root"), F.row_number().over(order).cast("long").alias("final_line"), (F.col("l_suppkey") % 3).alias("node"))
     rows = m.withColumn("original_line", F.row_number().over(Window.partitionBy("root", "node").orderBy("final_line")).cast("long"))
     return blame.groups(rows)
 
