@@ -2,9 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vhist import queries as history
+from vhist.plans.materialize import spread
+from vhist.sources.projection import History
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,3 +44,29 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     out = entry.entry(spark)
     assert out.columns == ["root", "pos", "oid", "author", "subject"] and out.limit(1).count() == 1
+
+
+def reads(df, name):
+    return df._jdf.queryExecution().sparkPlan().toString().count(f"/{name}.parquet")
+
+
+def test_snapshots_read_line_items_once(spark):
+    for name in ("tree_diff_name_status", "tree_diff_filtered"):
+        assert reads(history.QUERIES[name](spark, SF), "lineitem") == 1
+
+
+def test_changes_read_line_items_twice(spark):
+    assert reads(history.QUERIES["changed_paths_mask"](spark, SF), "lineitem") == 2
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    assert spread(spark.range(1000), "id", rows=100).rdd.getNumPartitions() == 10
+    assert spread(spark.range(10), "id", rows=100).rdd.getNumPartitions() == 4
+
+
+def test_writes_of_some_commits_and_paths(spark):
+    h = History(spark, SF)
+    want = {tuple(r) for r in h.touches.where("path like 'Brand#2/%'").collect()}
+    assert want and {tuple(r) for r in h.touches_where(F.col("path").like("Brand#2/%")).collect()} == want
+    ids = h.orders.where("o_orderkey < 9").select(F.col("o_orderkey").alias("id"))
+    assert {tuple(r) for r in h.touches_where(ids=ids).collect()} == {tuple(r) for r in h.touches.where("id < 9").collect()}

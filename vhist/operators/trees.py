@@ -17,11 +17,27 @@ def snapshot(reached: DataFrame, commits: DataFrame, touches: DataFrame) -> Data
     return written.groupBy("root", "path").agg(F.max_by("value", "seq").alias("value"))
 
 
+def two_snapshots(reached: DataFrame, commits: DataFrame, touches: DataFrame) -> DataFrame:
+    """(root, path, old, new): the snapshots of `old` and `new` commits of each root side by side, from one pass over the writes. ``reached``
+    has (root, node, old, new), the last two true where that side reaches the commit."""
+    timed = reached.join(commits.select(F.col("id").alias("node"), "seq"), "node")
+    written = timed.join(touches.withColumnRenamed("id", "node"), "node").select("root", "path", "value", "seq", "old", "new")
+    # Dealt before it is grouped, so that rows are sorted once.
+    dealt = written.repartition("root", "path").groupBy("root", "path")
+    side = lambda c: F.max_by("value", F.when(F.col(c), F.col("seq"))).alias(c)
+    return dealt.agg(side("old"), side("new"))
+
+
 def name_status(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, status): A, D or M for every path whose value differs. Equal values never leave the join."""
     a = before.withColumnRenamed("value", "old")
     b = after.withColumnRenamed("value", "new")
-    both = a.join(b, keys, "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    return statuses(a.join(b, keys, "full_outer"), keys)
+
+
+def statuses(both: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of rows that have both values, `old` and `new`."""
+    both = both.where(~F.col("old").eqNullSafe(F.col("new")))
     status = F.when(F.col("old").isNull(), "A").when(F.col("new").isNull(), "D").otherwise("M")
     return both.select(*keys, status.alias("status"))
 

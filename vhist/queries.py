@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vhist.functions import pathspec, textdiff
@@ -246,19 +246,23 @@ def writes_sql(*paths: str) -> str:
     return f"SELECT id, sha1(string_agg(concat(path, '=', value), ',' ORDER BY concat(path, '=', value))) AS value FROM touches WHERE {test} GROUP BY id"
 
 
+def writes(h: History, paths: list[str]) -> DataFrame:
+    return history.path_writes(h.touches_where(history.below_any(paths)), paths)
+
+
 @query(path_log_sql(writes_sql("Brand#2")))
 def log_path(h: History) -> DataFrame:
-    return history.path_log(tips(h), h.commits, h.edges, history.path_writes(h.touches, ["Brand#2"]))
+    return history.path_log(tips(h), h.commits, h.edges, writes(h, ["Brand#2"]))
 
 
 @query(path_log_sql(writes_sql("Brand#2"), first_parent=True))
 def log_path_first_parent(h: History) -> DataFrame:
-    return history.path_log(tips(h), h.commits, h.edges, history.path_writes(h.touches, ["Brand#2"]), first_parent=True)
+    return history.path_log(tips(h), h.commits, h.edges, writes(h, ["Brand#2"]), first_parent=True)
 
 
 @query(path_log_sql(writes_sql("Brand#1/ECONOMY", "Brand#3/SMALL", "Brand#7")))
 def log_multi_path(h: History) -> DataFrame:
-    return history.path_log(tips(h), h.commits, h.edges, history.path_writes(h.touches, ["Brand#1/ECONOMY", "Brand#3/SMALL", "Brand#7"]))
+    return history.path_log(tips(h), h.commits, h.edges, writes(h, ["Brand#1/ECONOMY", "Brand#3/SMALL", "Brand#7"]))
 
 
 CHANGED = """SELECT t.id AS child, p.ord, t.path FROM touches t JOIN parents p ON p.child = t.id LEFT JOIN touches u ON u.id = p.parent AND u.path = t.path
@@ -279,7 +283,7 @@ CHANGED = """SELECT t.id AS child, p.ord, t.path FROM touches t JOIN parents p O
 )
 def log_predicate(h: History) -> DataFrame:
     hit = pathspec.compile_specs(["Brand#1*/ECONOMY/*"], F.col("path"))
-    changes = history.path_changes(h.touches.where(hit), h.edges)
+    changes = history.path_changes(materialized(h.touches_where(hit)), h.edges)
     has_parent = h.edges.select("child").distinct().withColumn("p", F.lit(True))
     marked = changes.join(has_parent, "child", "left").select("child", F.when(F.col("p").isNull(), -1).otherwise(F.col("ord")).alias("ord")).distinct()
     return history.predicate_log(tips(h), h.edges, marked)
@@ -300,9 +304,13 @@ def changed_paths_mask(h: History) -> DataFrame:
 SNAP = "SELECT root, path, arg_max(value, seq) AS value FROM {r} JOIN commits ON commits.id = node JOIN touches ON touches.id = node GROUP BY 1, 2"
 
 
-def two_snapshots(h: History) -> tuple[DataFrame, DataFrame]:
-    before = trees.snapshot(graph.closure(old(h), h.edges, True), h.commits, h.touches)
-    return before, trees.snapshot(graph.closure(tips(h), h.edges, True), h.commits, h.touches)
+def two_snapshots(h: History, match: Column | None = None) -> DataFrame:
+    """Both snapshots of each branch, from one closure. Paths that don't fit ``match`` are left out."""
+    side = lambda rows, new: rows.select(F.struct("root", F.lit(new).alias("new")).alias("root"), "node")
+    reached = graph.closure(side(old(h), False).unionByName(side(tips(h), True)), h.edges, True)
+    on = lambda c: F.max(F.col("root.new") == c)
+    sides = reached.groupBy(F.col("root.root").alias("at"), "node").agg(on(False).alias("old"), on(True).alias("new")).withColumnRenamed("at", "root")
+    return trees.two_snapshots(sides, h.commits, h.touches_where(match))
 
 
 STATUS = "SELECT root, path, CASE WHEN a.value IS NULL THEN 'A' WHEN b.value IS NULL THEN 'D' ELSE 'M' END AS status FROM sa a FULL JOIN sb b USING (root, path) WHERE a.value IS DISTINCT FROM b.value"
@@ -317,21 +325,23 @@ TREES = dict(
 
 @query(oracle("commits parents heads touches", STATUS, **TREES))
 def tree_diff_name_status(h: History) -> DataFrame:
-    return trees.name_status(*two_snapshots(h), ["root", "path"])
+    return trees.statuses(two_snapshots(h), ["root", "path"])
 
 
 @query(oracle("commits parents heads touches", STATUS + " AND (path = 'Brand#2' OR substr(path, 1, 8) = 'Brand#2/')", **TREES))
 def tree_diff_filtered(h: History) -> DataFrame:
-    a, b = two_snapshots(h)
-    return trees.name_status(*(x.where(trees.below(F.col("path"), ["Brand#2"])) for x in (a, b)), ["root", "path"])
+    return trees.statuses(two_snapshots(h, trees.below(F.col("path"), ["Brand#2"])), ["root", "path"])
 
 
 @query(oracle("commits parents heads touches", "SELECT path, value FROM sb WHERE root = (SELECT min(root) FROM sb)", **TREES))
 def ls_tree_recursive(h: History) -> DataFrame:
     reached = materialized(graph.closure(tips(h), h.edges, True))
-    written = h.touches.select(F.col("id").alias("node")).distinct()
+    parts = h.part.select(F.col("p_partkey").alias("l_partkey"))
+    written = h.lineitem.join(parts, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("node"))
     first = reached.join(written, "node", "left_semi").agg(F.min("root").alias("root"))
-    return trees.snapshot(reached.join(first, "root", "left_semi"), h.commits, h.touches).select("path", "value")
+    # One branch's commits: only what they write is looked at.
+    mine = materialized(reached.join(F.broadcast(first), "root", "left_semi"))
+    return trees.snapshot(mine, h.commits, h.touches_where(ids=mine.select(F.col("node").alias("id")).distinct())).select("path", "value")
 
 
 @query(oracle("files", "SELECT name, 'tree' AS kind, row_number() OVER (ORDER BY name || '/') AS pos FROM (SELECT DISTINCT split_part(path, '/', 1) AS name FROM files)"))
@@ -727,6 +737,6 @@ def stream_ingest(h: History) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of one path, newest first, with display columns joined after the limit."""
     h = History(spark, sf_dir)
-    shown = history.path_log(tips(h), h.commits, h.edges, history.path_writes(h.touches, ["Brand#2"]))
+    shown = history.path_log(tips(h), h.commits, h.edges, writes(h, ["Brand#2"]))
     rows = graph.by_time(shown, h.commits).where("pos <= 10")
     return rows.join(h.commits.select(F.col("id").alias("node"), "oid", "author", "subject"), "node").select("root", "pos", "oid", "author", "subject")
