@@ -38,8 +38,8 @@ from .common import strings, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States kept by one worker; words whose tokens it remembers.
-MAX_STATES = 300_000
-MAX_WORDS = 400_000
+MAX_STATES = 250_000
+MAX_WORDS = 250_000
 #: Bytes read between emissions inside one piece.
 LOOKAHEAD = 1024
 #: Bytes of a piece that goes side by side with others, and bytes and number of all that do at once.
@@ -47,7 +47,7 @@ SHORT = 256
 ABREAST = 1 << 17
 MAX_PIECES = 15_000
 #: Characters of texts that are encoded at once (more, if one text has more).
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: A space before white space or the end, where the split at spaces isn't safe; what follows it there.
 ODD_SPACE, ODD_WORD = regex.compile(r" (?:\s|$)"), regex.compile(r"\s|$")
 
