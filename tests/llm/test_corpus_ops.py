@@ -97,6 +97,50 @@ def test_spanning_links_skip_components():
     assert len(links) == 118 and all((a - b) % 2 == 0 for a, b in links)
 
 
+def test_close_sets_lose_no_link():
+    """Sets that link are close by size and bitmap, in one block and across two; components that links join get one label."""
+    r = np.random.default_rng(6)
+    for similar, lower in ((60, 0), (80, 40), (85, 0)):
+        sets = []
+        for size in (1, 2, 4, 9, 30, 50, 60):
+            for _ in range(5):
+                base = r.integers(0, 2**63, size).astype(np.uint64)
+                sets += [np.unique(np.concatenate([base[e:], r.integers(0, 2**63, e).astype(np.uint64)])) for e in r.integers(0, 1 + size // 4, 5)]
+        sets.sort(key=len)
+        n, component = np.array([len(s) for s in sets]), r.integers(0, 60, len(sets))
+        bits = np.frombuffer(b"".join(near_dup.parities(s, 128) for s in sets), np.uint64).reshape(len(sets), -1)
+        for side in (np.zeros(len(sets), int), r.integers(0, 2, len(sets))):
+            met, label = near_dup.close_sets(n, bits, component, side, lower, similar)
+            links = [(i, j) for i in range(len(sets)) for j in range(i) if component[i] != component[j] and n[i] > lower and (side[i] != side[j] or not side.any()) and near_dup.linked(sets[i], sets[j], similar)]
+            assert len(links) >= 10 and all(met[i] and met[j] and label[i] == label[j] for i, j in links)
+            assert all(len(set(label[component == c].tolist())) == 1 for c in component)
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 4096])
+def test_sets_with_common_passages_are_not_compared(spark, monkeypatch, cells):
+    """Texts that hang together by a few common shingles aren't compared word by word: what is doesn't grow with the family."""
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(14)]
+    rows = [(i, " ".join(common + [f"w{r.randrange(10**6)}" for _ in range(r.randrange(18, 40))])) for i in range(600)]
+    # Chains whose ends aren't linked, so that no hub is linked with all.
+    for chain in range(6):
+        ws = common + [f"x{chain}y{j}" for j in range(60)]
+        for step in range(8):
+            rows.append((1000 + 10 * chain + step, " ".join(ws)))
+            ws = ws[:14] + ws[17:] + [f"z{chain}y{3 * step + j}" for j in range(3)]
+    r.shuffle(rows)
+    seen = []
+    whole = near_dup.links_in_blocks
+    monkeypatch.setattr(near_dup, "CELLS", cells, raising=False)
+    monkeypatch.setattr(near_dup, "links_in_blocks", lambda rows, *a: seen.append(rows.count()) or whole(rows, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs, 5, 80).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) >= 42 and got == group_of(links, sets)
+    assert sum(seen) <= 60
+
+
 def test_partenum_shares_a_signature():
     """Any two sets that are similar enough share a signature, whatever their size; also with many empty partitions."""
     r = np.random.default_rng(3)

@@ -11,10 +11,11 @@ of them are dealt again into larger parts, and the few that lack shingles there
 Sets that share fewer signatures with others than any link takes are left out; sets are known by a digest there, so copies of a
 text are one set. Of the rest, each signature proposes a link from each of its sets to the smallest of them, its hub. Every set is compared
 exactly with the hub that it shares most signatures with. Where these links leave one component of all that proposed links join, nothing else
-can be linked. Where several are left, only sets that share as many signatures as a link takes with sets of other components can
-link them: these are compared exactly with each other, in blocks of at most about `BLOCK` shingles, and never within a component. So a
-family of copies takes one comparison a copy, however large it is; the work that grows with the square is that between different components that
-share signatures without being linked. Links give the components. In each batch, sets with a common signature hand only
+can be linked. Where several are left, sets of different components are compared by bitmaps that have a bit or two a shingle and bound from below
+by how many shingles two sets differ, within the sizes that can link. Most families of a large corpus hang together by a few common shingles only, and
+end here. The sets that are close enough to one of another component are compared exactly, in blocks of at most about `BLOCK` shingles, and never within a
+component. So a family of copies takes one comparison a copy, however large it is; the work that grows with the square is that of bitmaps, and that
+of texts between different components that are nearly linked. Links give the components. In each batch, sets with a common signature hand only
 the smallest id on, so a hot signature is added up before the shuffle. No cap on partners or candidates anywhere.
 
 Null, empty and blank texts have no shingles and link with nothing; their component is their own id. A text with fewer
@@ -37,6 +38,8 @@ from .components import components
 
 #: Shingles of the sets in a block, and of those that one task compares with a hub, at most about.
 BLOCK = 1 << 20
+#: Bits of the bitmaps that one task compares with each other, at most about; a set counts as 512 at least.
+CELLS = 1 << 23
 #: Shingles whose signatures are made at once.
 CHUNK = 1_000_000
 #: The most bits of the filter that spares shuffling texts without candidates: 32 MB. A fuller one lets more texts through.
@@ -331,23 +334,115 @@ def links_to_hubs(own: DataFrame, best: DataFrame, k: int, similar: int) -> Data
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def contested(own: DataFrame, k: int, similar: int) -> DataFrame:
-    """(doc_id): the sets that share as many signatures as a link takes with sets of other components, from (doc_id, text, c)."""
+def parities(s: np.ndarray, bits: int) -> bytes:
+    """Whether the number of shingles is odd in each of ``bits`` classes, as a bitmap. A shingle that only one of two sets has changes
+    one bit, so sets differ in as many shingles, at least, as their bitmaps do in bits."""
+    return np.packbits(np.bincount((mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketches(own: DataFrame, k: int, similar: int) -> DataFrame:
+    """(doc_id, n, last, bits) from (doc_id, text): a set's bitmap in its own band and, where it can link into that, in the next;
+    ``last`` is the largest size of the band, and all bitmaps of a band have one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit = Shingles(k)
         for batch in batches:
-            sets = [kit.of(raw) for raw in texts(batch)]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            sig, at, band, shares = signatures_of([sets[i] for i in some], similar)
-            rows = pa.array(np.array(some, np.int64)[at])
-            columns = [batch.column(c).take(rows) for c in (0, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *columns, pa.array(band), pa.array(shares[at, band])], ["sig", "doc_id", "c", "band", "need"])
+            rows: list[list] = [[] for _ in range(4)]
+            for doc, raw in zip(batch.column(0).to_pylist(), texts(batch)):
+                s = kit.of(raw)
+                if not len(s):
+                    continue
+                ends = bands(similar, 100 * (1 << len(s).bit_length()) // similar + 1)
+                at = int(np.searchsorted(ends, len(s)))
+                for last in ends[at : at + (2 if 100 * len(s) >= similar * (ends[at] + 1) else 1)]:
+                    for to, x in zip(rows, (doc, len(s), last, parities(s, max(64, 1 << (last - 1).bit_length())))):
+                        to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(r, kind) for r, kind in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n", "last", "bits"])
+
+    return own.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, last long, bits binary")
+
+
+def close_sets(n: np.ndarray, bits: np.ndarray, component: np.ndarray, side: np.ndarray, lower: int, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets may link with one of another component by their sizes and bitmaps, and for each a label that is the same for sets of a
+    component and for those of all components that such links join. Sets come in the order of their sizes; those of at most ``lower``
+    aren't compared with each other. ``side``: as in `spanning_links`."""
+    _, label, held = np.unique(component, return_inverse=True, return_counts=True)
+    first, now = label, label.copy()
+    met = np.zeros(len(n), bool)
+    # A bitmap's first fold decides most pairs.
+    fold = np.bitwise_xor.reduce(bits.reshape(len(n), -1, min(4, bits.shape[1])), axis=1)
+    largest = label == held.argmax()
+    start = int(np.searchsorted(n, lower, "right"))
+    alone = len(np.unique(side)) == 1
+    kinds = []
+    for s in np.unique(side):
+        to = [np.flatnonzero(x & (alone | (side != s))) for x in (np.ones(len(n), bool), largest)]
+        kinds.append((s, [(x, n[x], fold[x]) for x in to]))
+    for s, ((every, every_n, every_fold), (most, most_n, most_fold)) in kinds:
+        # The sets of the largest component don't ask, so it never meets itself; it is asked by smaller and by larger sets.
+        for i in np.flatnonzero(~largest & (side == s)):
+            up = slice(np.searchsorted(every, max(i + 1, start)), np.searchsorted(every_n, n[i] * 100 // similar, "right"))
+            down = slice(np.searchsorted(most_n, -(-n[i] * similar // 100)), np.searchsorted(most, i) if i >= start else 0)
+            for x, f, some in ((every, every_fold, up), (most, most_fold, down)):
+                if some.start >= some.stop:
+                    continue
+                room = (n[x[some]] + n[i]) * (100 - similar)
+                j = x[some][np.bitwise_count(f[some] ^ fold[i]).sum(axis=1, dtype=np.int64) * (100 + similar) <= room]
+                j = j[first[j] != first[i]]
+                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) * (100 + similar) <= (n[j] + n[i]) * (100 - similar)]
+                if len(j):
+                    met[i] = met[j] = True
+                    for other in np.unique(now[j]):
+                        if other != now[i]:
+                            now[now == other] = now[i]
+    return met, now
+
+
+def close_families(rows: DataFrame, similar: int) -> DataFrame:
+    """(doc_id, c, family) from rows of (doc_id, n, last, bits, c, family): the sets that may link with one of another component, and
+    new families of components that such links join. Sets of a family and band are compared in blocks of at most about `CELLS` bits."""
+    key = ["family", "last"]
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") * F.greatest(F.lit(512), F.col("last")) / CELLS).cast("int").alias("blocks"), (F.min("c") < F.max("c")).alias("open"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    spread = rows.join(sizes.where("open").drop("open"), key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key += ["p", "q"]
+    spread = spread.select("family", "last", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "n", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "c", "bits")
+    spread = spread.repartition(*key).sortWithinPartitions(*key, "n")
 
-    rows = stored(own.select("doc_id", "text", "c").mapInArrow(run, "sig long, doc_id long, c long, band long, need long"))
-    open_ = stored(rows.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("sig"))
-    met = rows.join(open_, "sig").groupBy("doc_id", "band").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    return met.where("n >= need").select("doc_id").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            one = pa.Table.from_batches(parts).combine_chunks()
+            n, side, doc, c = (one.column(x).to_numpy() for x in ("n", "side", "doc_id", "c"))
+            if now[2] != now[3] and side.min() == side.max():
+                return
+            bits = np.frombuffer(b"".join(one.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+            ends = bands(similar, int(one.column("last")[0].as_py()))
+            met, label = close_sets(n, bits, c, side, ends[-2] if len(ends) > 1 else 0, similar)
+            # A label goes on as the smallest component that has it.
+            least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, c)
+            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (doc, c, least[label])], ["doc_id", "c", "m"])
+
+        now = None
+        for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy() for x in range(4)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if parts and now != keys[:, lo].tolist():
+                    yield from out()
+                    parts.clear()
+                now = keys[:, lo].tolist()
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield from out()
+
+    found = stored(spread.mapInArrow(run, "doc_id long, c long, m long").distinct())
+    family = components(found.select("c", "m"), "c", "m").select(F.col("node").alias("c"), F.col("component").alias("family"))
+    return found.select("doc_id", "c").distinct().join(family, "c")
 
 
 def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, component: np.ndarray, similar: int) -> Iterator[tuple[int, int]]:
@@ -429,9 +524,9 @@ def near_duplicates(docs: DataFrame, k: int, similar: int) -> DataFrame:
     to = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     between = pairs.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
     family = stored(components(between), most).select(F.col("node").alias("c"), F.col("component").alias("family"))
-    named = own.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    left = stored(named.join(family, "c"))
-    more = left.join(stored(contested(left, k, similar), most), "doc_id", "left_semi")
+    named = near.select("doc_id").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
+    left = stored(named.join(family, "c"), most)
+    more = own.join(stored(close_families(sketches(own, k, similar).join(left, "doc_id"), similar), most), "doc_id")
     # Ids that repeat join all the sets that they stand for.
     filled = keys.where("doc_id IS NOT NULL")
     again = stored(filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), most)
