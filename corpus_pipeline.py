@@ -10,7 +10,7 @@ all stages but the last, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vhist.llm import bpe, decontaminate, line_dedup, near_dup, quality
@@ -40,11 +40,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select(*[made.get(c, F.col("row")[c]).alias(c) if c != "text" else made[c] for c in docs.columns])
 
 
+def id_key(c: Column, name: str) -> list[Column]:
+    """Two columns without nulls that are equal where ids are, nulls included."""
+    return [F.coalesce(c, F.lit(0)).alias(f"{name}_id"), c.isNull().alias(f"{name}_null")]
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group that near-duplicate links join: five words, similarity 0.8."""
     found = near_dup.near_duplicates(docs, k=5, similar=80)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return by_id(docs, stay, "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*id_key(F.col("doc_id"), "right"))
+    # The join and the removal of repeated rows go by the same columns, so that texts are shuffled once.
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    rows = docs.select(*id_key(F.col("doc_id").cast("long"), "left"), F.col("text").alias("left_text"), rest.alias("row"))
+    kept = rows.join(stay, (F.col("left_id") == F.col("right_id")) & (F.col("left_null") == F.col("right_null")), "left_semi")
+    kept = kept.dropDuplicates(["left_id", "left_null", "left_text"])
+    return kept.select(*[F.col("left_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vhist.llm import components, decontaminate, line_dedup, near_dup, neighbours, secrets, warc
+from vhist.llm import common, components, decontaminate, line_dedup, near_dup, neighbours, secrets, warc
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -141,6 +141,46 @@ def test_sets_with_common_passages_are_not_compared(spark, monkeypatch, cells):
     assert sum(seen) <= 60
 
 
+def shuffled(spark):
+    """Name and bytes of the shuffle files that there are."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    import time
+
+    before = set(shuffled(spark))
+    df = spark.range(1000).withColumn("k", F.col("id") % 10)
+    out = common.stored(df.groupBy("k").agg(F.sum("id").alias("s")).join(df, "k").repartition(3, "s"))
+    end = time.time() + 20
+    while set(shuffled(spark)) - before and time.time() < end:
+        time.sleep(0.2)
+    assert not set(shuffled(spark)) - before and out.count() == 1000
+    assert out.groupBy("k").count().collect() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_candidate_sets_travel_packed(spark):
+    """Every set with a link is a candidate, however many slots there are; signatures take about ten bytes each on the way."""
+    r = random.Random(12)
+    rows = []
+    for i in range(0, 400, 2):
+        ws = [f"w{r.randrange(10**6)}" for _ in range(r.choice([6, 40, 300]))]
+        rows += [(i, " ".join(ws)), (i + 1, " ".join(ws[: len(ws) - len(ws) // 40] if i % 8 else ws[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kit = near_dup.Shingles(5)
+    sets = [kit.of(t.encode()) for _, t in rows]
+    want = {int(near_dup.digest(x)[0]) % 2**64 >> 26 for a, b in zip(sets[::2], sets[1::2]) if len(a) != len(b) and near_dup.linked(a, b, 80) for x in (a, b)}
+    signatures = len(near_dup.signatures_of(sets, 80)[0])
+    for shingles in (0, 2**29):
+        before = set(shuffled(spark))
+        got = {x.x38 for x in near_dup.candidate_sets(docs, 5, 80, shingles).collect()}
+        assert len(want) > 50 and want <= got and len(got) < len(rows)
+        if not shingles:
+            assert sum(n for f, n in shuffled(spark).items() if f not in before) - sum(len(t) for _, t in rows) < 16 * signatures
+
+
 def test_partenum_shares_a_signature():
     """Any two sets that are similar enough share a signature, whatever their size; also with many empty partitions."""
     r = np.random.default_rng(3)

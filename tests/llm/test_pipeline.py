@@ -33,6 +33,22 @@ def test_empty_and_odd_rows(spark):
         assert stage(spark, odd, SF).count() <= 3, name
 
 
+def test_near_duplicates_shuffle_texts_once(spark):
+    rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "t", 13), (3, None, "en", "s", None), (3, "other", "en", "s", 5)]
+    rows += [(None, "x y", "en", "s", 3), (None, "x y", "en", "s", 3), (0, "x y", "de", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.where("doc_id IS NULL OR doc_id <> 2").distinct().collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus_pipeline.drop_near_duplicates(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and not [line for line in plan.splitlines() if "hashpartitioning" in line and "text" in line]
+
+
 def test_queries_by_brute_force(spark):
     """The thin queries themselves: op1 against all pairs, op5 against the library, op7 and op9 by held-out accuracy, op3 by its rows."""
     import hashlib

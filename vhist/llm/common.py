@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,15 +34,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps survive lost executors
-    and recompute nothing that stands before this point. ``rows`` is a bound of its rows, if one is known: a table of few
+    and recompute nothing that stands before this point. Its shuffles are removed then. ``rows`` is a bound of its rows, if one is known: a table of few
     narrow rows is written by as many tasks as there are cores, not by one task a shuffle partition."""
     spark = df.sparkSession
     path = shared_folder(spark)
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

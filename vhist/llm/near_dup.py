@@ -42,6 +42,8 @@ BLOCK = 1 << 20
 CELLS = 1 << 23
 #: Shingles whose signatures are made at once.
 CHUNK = 1_000_000
+#: Signatures that are met with each other at once, at most about.
+SLOT = 1 << 20
 #: The most bits of the filter that spares shuffling texts without candidates: 32 MB. A fuller one lets more texts through.
 FILTER_BITS = 1 << 28
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -214,9 +216,26 @@ def in_chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.nd
                 sets, first, held = [], at + 1, 0
 
 
-def candidate_sets(docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """(x): the first halves of the digests of sets that share as many signatures with other sets as a link takes, from rows of
-    (doc_id, text). Few others have that many in common with anything, so most texts end here, also those that only share a passage."""
+def five(x: np.ndarray) -> np.ndarray:
+    """The low five bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def from_five(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :5] = rows
+    return out.view("<u8").reshape(-1)
+
+
+def candidate_sets(docs: DataFrame, k: int, similar: int, shingles: int) -> DataFrame:
+    """(x38): the first 38 bits of the digests of sets that share as many signatures with other sets as a link takes, from rows of
+    (doc_id, text); ``shingles``: about how many these have. Few others have that many in common with anything, so most texts end here,
+    also those that only share a passage.
+
+    Signatures are dealt into slots by their first bits; a chunk's signatures of a slot travel as one value, in order, each as the next 40 bits and
+    38 bits of its set. Two that are taken for one only let a set more through, and sets that are taken for one are all let through."""
+    power = max(6, (shingles // SLOT).bit_length())
+    slots = 1 << power
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in in_chunks(batches, k):
@@ -231,25 +250,64 @@ def candidate_sets(docs: DataFrame, k: int, similar: int) -> DataFrame:
             size = np.diff(np.append(new, len(sig)))
             shared = np.repeat(size > 1, size)
             here = np.bincount(2 * at[shared] + band[shared], minlength=2 * len(sets)).reshape(-1, 2)
-            # A row of each signature: with its set and band, or with neither where several of these sets have it, which is
-            # counted here. A row of each set and band: what it shares here less what it needs, marked by the second last bit.
+            # Each signature has its set and band, or 3 where several of these sets have it, which is counted here. Each set and band has
+            # what it shares here less what it needs.
             who, which = np.nonzero(shares)
-            balance = 4 * (here - shares)[who, which] + 2 + which
-            own = mix(xs[who].view(np.uint64) * np.uint64(2) + which.astype(np.uint64) + np.uint64(1))
-            doc, mark = np.concatenate([xs[at[new]], xs[who]]), np.concatenate([band[new], balance]).astype(np.int32)
-            none = np.concatenate([size > 1, np.zeros(len(who), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[new], own]).view(np.int64)), pa.array(doc, mask=none), pa.array(mark)], ["sig", "x", "mark"])
-
-    rows = docs.mapInArrow(run, "sig long, x long, mark int")
-    # One row for each signature and chunk: even the hottest signature has no more rows than there are chunks. A set that stands in
-    # several chunks has its balance in each, and all of these have one sign.
-    w = Window.partitionBy("sig")
-    others = (F.min("x").over(w) != F.max("x").over(w)) | (F.count("*").over(w) > F.count("x").over(w))
-    found = rows.withColumn("others", others)
-    plain = F.col("mark").bitwiseAND(2) == 0
-    worth = F.when(plain, F.coalesce("others", F.lit(False)).cast("long")).otherwise(F.shiftright("mark", 2).cast("long"))
-    total = found.withColumn("worth", worth).where("x IS NOT NULL AND (worth <> 0 OR (mark & 2) <> 0)").groupBy("x", F.col("mark").bitwiseAND(1).alias("band")).agg(F.sum("worth").alias("balance"))
-    return total.where("balance >= 0").select("x").distinct()
+            sig, code = sig[new], np.where(size > 1, np.uint64(3), (xs.view(np.uint64) >> np.uint64(26) << np.uint64(2))[at[new]] + band[new].astype(np.uint64))
+            entries = np.concatenate([five(sig << np.uint64(power) >> np.uint64(24)), five(code)], axis=1)
+            cut = np.searchsorted(sig >> np.uint64(64 - power), np.arange(slots + 1).astype(np.uint64))
+            slot = (xs.view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)[who]
+            order = np.argsort(slot, kind="stable")
+            needs = np.stack([xs[who], (here - shares)[who, which] * 2 + which], axis=1)[order]
+            needs_cut = np.searchsorted(slot[order], np.arange(slots + 1))
+            columns = [pa.array(np.arange(slots, dtype=np.int32))]
+            for values, at_byte in ((entries, cut * 10), (needs, needs_cut * 16)):
+                columns.append(pa.Array.from_buffers(pa.binary(), slots, [None, pa.py_buffer(at_byte.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]))
+            full = (cut[1:] > cut[:-1]) | (needs_cut[1:] > needs_cut[:-1])
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "entries", "needs"]).filter(pa.array(full))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(entries: list[bytes], needs: list[bytes]) -> pa.RecordBatch:
+            rows = np.frombuffer(b"".join(entries), np.uint8).reshape(-1, 10)
+            sig, code = from_five(rows[:, :5]), from_five(rows[:, 5:])
+            order = np.argsort(sig, kind="stable")
+            sig, code = sig[order], code[order]
+            new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
+            size = np.diff(np.append(new, len(sig)))
+            # Signatures that one chunk has are met by nothing here.
+            met = np.repeat(size > 1, size)
+            code, size = code[met], size[size > 1]
+            none, x = (code & np.uint64(3)) == 3, code >> np.uint64(2)
+            if len(size):
+                at = np.concatenate([[0], np.cumsum(size)[:-1]])
+                others = np.logical_or.reduceat(none, at) | (np.minimum.reduceat(x, at) != np.maximum.reduceat(x, at))
+                code = code[np.repeat(others, size) & ~none]
+            code, worth = np.unique(code, return_counts=True)
+            whole = np.frombuffer(b"".join(needs), np.int64).reshape(-1, 2)
+            columns = (
+                np.concatenate([code >> np.uint64(2), whole[:, 0].view(np.uint64) >> np.uint64(26)]).view(np.int64),
+                np.concatenate([(code & np.uint64(3)).astype(np.int64), whole[:, 1] & 1]),
+                np.concatenate([worth, whole[:, 1] >> 1]),
+            )
+            given = pa.array(np.concatenate([np.zeros(len(code), np.int64), whole[:, 0]]), mask=np.arange(len(code) + len(whole)) < len(code))
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), given], ["x38", "band", "worth", "x"])
+
+        now, entries, needs = None, [], []
+        for batch in batches:
+            for slot, a, b in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if slot != now and entries + needs:
+                    yield out(entries, needs)
+                    entries, needs = [], []
+                now = slot
+                entries.append(a)
+                needs.append(b)
+        if entries:
+            yield out(entries, needs)
+
+    rows = docs.mapInArrow(run, "slot int, entries binary, needs binary").repartition("slot").sortWithinPartitions("slot")
+    # Even the hottest signature is there once a chunk at most. A set that stands in several chunks has its balance in each, and all of these have one sign.
+    total = rows.mapInArrow(meet, "x38 long, band long, worth long, x long").groupBy("x38", "band").agg(F.sum("worth").alias("balance"), F.min("x").alias("x"), F.max("x").alias("other"))
+    return total.where("balance >= 0 OR x <> other").select("x38").distinct()
 
 
 def star_pairs(own: DataFrame, k: int, similar: int) -> DataFrame:
@@ -510,10 +568,11 @@ def near_duplicates(docs: DataFrame, k: int, similar: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = stored(set_keys(rows, k))
-    most = keys.count()
+    most, shingles = keys.agg(F.count("*"), F.sum("n")).first()
     reps = stored(keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep")), most)
     # Ids that stand for several sets aren't told apart here, so all of their rows come along.
-    near = reps.join(candidate_sets(rows.where("doc_id IS NOT NULL"), k, similar), "x", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
+    found = candidate_sets(rows.where("doc_id IS NOT NULL"), k, similar, shingles or 0)
+    near = reps.withColumn("x38", F.shiftrightunsigned("x", 26)).join(found, "x38", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
     near = stored(near, most)
     own = stored(filtered(rows, near).join(near, "doc_id"))
     pairs = stored(star_pairs(own, k, similar))
